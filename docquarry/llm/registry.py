@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from docquarry.llm.chat import OP7_SQL, op7_chat_formatting
+from docquarry.llm.decontaminate import OP8_SQL, op8_decontamination
+from docquarry.llm.mixing import OP5_SQL, op5_mixing
 from docquarry.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_mixing": op5_mixing,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_decontamination": op8_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+    "op7_chat_formatting": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
+}
