@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from docquarry.llm.chat import OP7_SQL, op7_chat_formatting
 from docquarry.llm.decontaminate import OP8_SQL, op8_decontamination
+from docquarry.llm.embeddings import OP2_SQL, op2_embedding_dedup
 from docquarry.llm.langid import op10_language_id
 from docquarry.llm.linededup import OP4_SQL, op4_line_dedup
 from docquarry.llm.mixing import OP5_SQL, op5_mixing
+from docquarry.llm.secrets import OP3_SQL, op3_secrets
 from docquarry.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_secrets": op3_secrets,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op7_chat_formatting": op7_chat_formatting,
@@ -19,6 +23,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": OP2_SQL,
+    "op3_secrets": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
