@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docquarry.llm.common import components, table, written
+from docquarry.llm.common import components, small_broadcast, table, written
 
 #: Largest BK-tree, in fingerprints.
 SHARD = 512
@@ -208,3 +208,175 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- near-duplicates by similarity -----------------------------------------------------------------------
+#
+# At a Jaccard similarity of 0.8 fingerprints differ in some ten bits, which no few blocks survive. Shards are then
+# the groups that equal bands of min-hashes connect, a superset of the sought groups; each shard's texts meet once, a BK-tree
+# over their fingerprints leads each text to the others within REACH bits, and these pairs are verified on
+# the shingles themselves unless they are connected already.
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 5
+#: Bits; five standard deviations above the expected distance at SIMILARITY.
+REACH = 24
+#: Texts whose shingles one task holds at once; larger shards are cut into pieces, all pairs of which are compared.
+PIECE = 2048
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's word shingles; fewer words are one shingle, none gives none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    whole = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - shingle + 1)
+    hashed = xxhash.xxh64_intdigest
+    pairs = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
+    return np.unique(np.fromiter((hashed(whole[s:e], 42) for s, e in pairs), np.uint64, n))
+
+
+def simhash(h: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), STEP):
+        ones += np.unpackbits(h[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """A key for each band of min-hashes of a set of hashes."""
+    import xxhash
+
+    rng = np.random.default_rng(17)
+    odd = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
+    mask = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 2048):
+        np.minimum(least, ((h[at : at + 2048, None] ^ mask) * odd).min(0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(row.tobytes(), i)).view(np.int64))) for i, row in enumerate(rows)]
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, node, bands): node is a hash of the set of shingles."""
+    import xxhash
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
+            keys = pa.array([bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), keys], ["doc_id", "text_hash", "node", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(of, "doc_id long, text_hash long, node long, bands array<long>")
+
+
+def similar(nodes: list[int], sets: list[np.ndarray], side: list[bool], similarity: float = SIMILARITY, reach: int = REACH) -> list[tuple[int, int]]:
+    """Star edges of the groups that pairs of that Jaccard similarity form; with both sides present only pairs between them count."""
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    both = any(side) and not all(side)
+    of = [frozenset(h.tolist()) for h in sets]
+    tree, place = BKTree(), []
+    prints = [simhash(h) for h in sets]
+    for i in sorted(range(len(nodes)), key=lambda i: side[i]):
+        if not both or side[i]:
+            for at in tree.within(prints[i], reach):
+                j = place[at]
+                a, b = len(of[i]), len(of[j])
+                if find(i) == find(j) or min(a, b) < similarity * max(a, b):
+                    continue
+                n = len(of[i] & of[j])
+                if n >= similarity * (a + b - n):
+                    root[find(i)] = find(j)
+        if not both or not side[i]:
+            tree.add(prints[i])
+            place.append(i)
+    return [(nodes[i], nodes[r]) for i in range(len(nodes)) if (r := find(i)) != i]
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, piece: int = PIECE) -> DataFrame:
+    """(doc_id, text_hash, node, first) for each row of docs(doc_id, text); first is the struct of the row of its group that comes first.
+
+    Texts are linked at that Jaccard similarity of their sets of SHINGLE-word shingles, and equal sets always are, texts without words
+    among them. Rows are ordered by doc_id (null last), then by a hash of the text.
+    """
+    rows = written(_described(docs), "described")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = written(rows.groupBy("node").agg(F.min(at).alias("first"), F.first("bands").alias("bands")), "sets")
+    keyed = nodes.select("node", F.explode("bands").alias("band"))
+    least = keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    loose = keyed.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    shards = written(components(loose), "shards")
+    sized = shards.groupBy("component").agg(F.count("*").alias("n"))
+    members = shards.join(sized, "component").join(nodes.select("node", "first"), "node")
+    members = written(members.select("node", "component", "n", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")), "members")
+    text = F.col("text").cast("string")
+    same = (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    texts = docs.select("doc_id", "text").join(small_broadcast(members), same).select("node", "component", "n", text.alias("text"))
+    pieces = F.ceil(F.col("n") / F.lit(piece)).cast("long")
+    texts = texts.withColumn("own", F.pmod(F.xxhash64("node"), pieces))
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    key = F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = texts.select(F.xxhash64(key).alias("key"), "node", (F.col("own") > F.col("other")).alias("side"), "text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, sets, side = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            found = similar(nodes, sets, side, similarity) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for k, node, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if k != key:
+                    yield done()
+                    key, nodes, sets, side = k, [], [], []
+                if node not in nodes[-1:]:  # rows that were given twice follow each other
+                    nodes.append(node)
+                    sets.append(shingles(t.as_py()))
+                    side.append(s)
+        yield done()
+
+    texts = texts.repartition("key").sortWithinPartitions("key", "node")
+    groups = written(components(texts.mapInArrow(of, "a long, b long")), "groups")
+    first = nodes.join(groups, "node").groupBy("component").agg(F.min("first").alias("least"))
+    joined = groups.join(first, "component").select("node", "least")
+    classes = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("first"))
+    return rows.select("doc_id", "text_hash", "node").join(written(classes, "classes"), "node")
+
+
+def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs less all rows of a group of similar texts but the one with the smallest doc_id (null last).
+
+    All columns stay. Of rows that agree in doc_id and text one stays.
+    """
+    groups = similar_groups(docs, similarity)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    gone = written(groups.where(own != F.col("first")).select("doc_id", "text_hash").distinct(), "gone")
+    gone = small_broadcast(gone.select(F.struct("doc_id", "text_hash").alias("_gone")))
+    hashed = F.xxhash64(docs["text"].cast("string"))
+    same = (hashed == F.col("_gone.text_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_gone.doc_id"))
+    left = docs.join(gone, same, "left_anti")
+    twice = written(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    if twice.isEmpty():
+        return left
+    # Only where a row was given more than once.
+    twice = small_broadcast(twice.select(F.struct("doc_id", "text_hash").alias("_twice")))
+    hashed = F.xxhash64(left["text"].cast("string"))
+    same = (hashed == F.col("_twice.text_hash")) & left["doc_id"].cast("long").eqNullSafe(F.col("_twice.doc_id"))
+    once = left.join(twice, same, "left_anti")
+    again = left.withColumn("_hash", hashed).join(twice, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(again)
