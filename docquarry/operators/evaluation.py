@@ -13,6 +13,11 @@ def _share(found: Column, of: Column) -> Column:
     return F.when(F.size(of) > 0, F.size(F.array_intersect(found, of)) / F.size(of)).otherwise(0.0)
 
 
+def _ranks(field: str, expected: Column) -> Column:
+    """Of the column got: the ranks of what was expected."""
+    return F.transform(F.filter("got", lambda x: F.array_contains(expected, x[field])), lambda x: x["rank"])
+
+
 def per_query(items: DataFrame, results: DataFrame) -> DataFrame:
     """The metrics of each row of items(query_id, expected_documents, expected_chunks, ...) over results(query_id, rank, chunk_id, document).
 
@@ -32,8 +37,7 @@ def per_query(items: DataFrame, results: DataFrame) -> DataFrame:
         for k in CUTS:
             out[f"{level}_recall_{k}"] = _share(top(k), expected)
         out[f"{level}_precision_5"] = _share(expected, top(5))
-        hits = F.transform(F.filter("got", lambda x, f=field, e=expected: F.array_contains(e, x[f])), lambda x: x["rank"])
-        out[f"{level}_mrr"] = F.coalesce(F.lit(1.0) / F.array_min(hits), F.lit(0.0))
+        out[f"{level}_mrr"] = F.coalesce(F.lit(1.0) / F.array_min(_ranks(field, expected)), F.lit(0.0))
     return rows.withColumns(out).drop("got")
 
 
