@@ -1,7 +1,7 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Only documents are labelled, so tokens get labels first: a word is a toxic one if, in a bounded sample of
-labelled documents, it occurs in many different contexts in toxic documents and hardly in others. A chain of
+Only documents are labelled, so tokens get labels first: a word, or a beginning of words, is toxic if, in a bounded sample of
+labelled documents, toxic ones have it far more often than chance allows. A chain of
 two states is then fitted to the sample's segments by gradients from forward-backward marginals. Over the whole table
 the marginals of each text's tokens give its score, the chance that any is toxic, calibrated on the sample,
 and the offsets of the tokens that are likely toxic.
@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from docquarry.llm.common import in_fold, table
 TOKEN = re.compile(r"[^\W_]+")
 #: Bounds of the sample: documents of each label, by the hash of their ids, and segments of SEGMENT tokens of all.
 TRAIN_DOCS, TRAIN_SEGMENTS, SEGMENT = 2500, 40_000, 48
-#: A toxic word has so many different neighbours in toxic documents, and this ratio of document shares.
-CONTEXTS, RATIO = 5, 6.0
+#: Units that may be taken for toxic by accident, as an expected number, and the least ratio of document shares.
+ERROR, RATIO = 1.0, 6.0
+#: Lengths of the beginnings of words that are units as well.
+BEGINNINGS = (6, 5, 4)
+CACHE = 200_000
 #: Other words with a weight of their own.
 COMMON = 3000
 ROUNDS, RATE, L2 = 60, 0.3, 1e-4
@@ -37,8 +41,8 @@ def tokens_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    words: dict[str, int]  # id 0: all others
-    weights: np.ndarray  # emission of the toxic state less that of the clean one, by word id
+    units: dict[str, int]  # id 0: all others
+    weights: np.ndarray  # emission of the toxic state less that of the clean one, by id
     trans: np.ndarray  # log weights of steps, [from, to]
     start: float
     scale: tuple[float, float]  # of the document score's logit
@@ -84,42 +88,85 @@ def _bounds(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(s)[:-1])).astype(np.int64) if len(s) else s, s
 
 
+def units_of(word: str) -> list[str]:
+    """The word, and its beginnings, longest first, each with a star."""
+    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+
+
 def lexicon(segments: list[tuple[int, int, list[str]]]) -> set[str]:
-    """Toxic words of (document, toxic, tokens)."""
-    docs: tuple[dict, dict] = defaultdict(set), defaultdict(set)
-    near = defaultdict(set)
-    number: tuple[set, set] = set(), set()
-    for doc, toxic, words in segments:
-        number[toxic].add(doc)
-        for i, w in enumerate(words):
-            docs[toxic][w].add(doc)
-            if toxic:
-                near[w].add((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-    n0, n1 = len(number[0]) + 1, len(number[1]) + 1
-    return {w for w, d in docs[1].items() if len(near[w]) >= CONTEXTS and len(d) >= CONTEXTS and len(d) / n1 >= RATIO * (len(docs[0].get(w, ())) + 0.5) / n0}
+    """Toxic words and beginnings of words of (document, toxic, tokens): those that toxic documents have too often for chance.
+
+    Documents count as often as their least contexts of a unit differ, so copies count once. By the Chernoff bound
+    a unit passes if, of all units tried, at most ERROR would have its share of toxic documents by chance. A beginning
+    of a single word says no more than the word and is left out.
+    """
+    contexts, clean, n = defaultdict(set), Counter(), [1, 1]
+    for (_, toxic), parts in groupby(sorted(segments, key=lambda s: s[:2]), key=lambda s: s[:2]):
+        n[toxic] += 1
+        least: dict[str, tuple[str, str]] = {}
+        for _, _, words in parts:
+            for i, w in enumerate(words):
+                near = (words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "")
+                least[w] = min(near, least.get(w, near))
+        for w, near in list(least.items()):
+            for u in units_of(w)[1:]:
+                least[u] = min(near, least.get(u, near))
+        if toxic:
+            for u, near in least.items():
+                contexts[u].add(near)
+        else:
+            clean.update(least.keys())
+    shared = Counter(b for u in contexts if not u.endswith("*") for b in units_of(u)[1:])
+    p, out = n[1] / sum(n), set()
+    enough = np.log(max(len(contexts), 1) / ERROR)
+    for u, of in contexts.items():
+        a, b = len(of), clean[u]
+        q = a / (a + b)
+        if u.endswith("*") and shared[u] < 2:
+            continue
+        if q > p and a / n[1] >= RATIO * (b + 0.5) / n[0]:
+            bits = q * np.log(q / p) + ((1 - q) * np.log((1 - q) / (1 - p)) if b else 0)
+            if (a + b) * bits >= enough:
+                out.add(u)
+    return out
+
+
+class Ids(dict):
+    """Of tokens, from those of units: a token that isn't a unit has its longest beginning's id, or 0. Keeps CACHE tokens."""
+
+    def __init__(self, units: dict[str, int]) -> None:
+        self.units = units
+
+    def __missing__(self, word: str) -> int:
+        found = next((self.units[u] for u in units_of(word) if u in self.units), 0)
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found
+        return found
 
 
 def fit(segments: list[tuple[int, int, list[str]]], share: float = 0.5) -> Model:
     """share: of toxic ones among the labelled documents that the sample was drawn from."""
     toxic = lexicon(segments)
     counts = Counter(w for _, _, words in segments for w in words)
-    words = {w: i for i, w in enumerate(sorted(toxic) + sorted(w for w, _ in counts.most_common(COMMON) if w not in toxic), 1)}
-    model = Model(words, np.zeros(len(words) + 1), np.zeros((2, 2)), 0.0, (1.0, 0.0))
+    units = {w: i for i, w in enumerate(sorted(toxic) + sorted(w for w, _ in counts.most_common(COMMON) if w not in toxic), 1)}
+    model = Model(units, np.zeros(len(units) + 1), np.zeros((2, 2)), 0.0, (1.0, 0.0))
     if not toxic:
         model.weights[:] = -20
         model.scale = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
         return model
     segments = [s for s in segments if s[2]]
-    ids = np.array([words.get(w, 0) for _, _, ws in segments for w in ws])
-    gold = np.array([float(label and w in toxic) for _, label, ws in segments for w in ws])
+    of = Ids(units)
+    ids = np.array([of[w] for _, _, ws in segments for w in ws])
+    gold = np.array([label for _, label, ws in segments for _ in ws]) * (ids > 0) * (ids <= len(toxic)).astype(float)
     starts, sizes = _bounds([len(ws) for _, _, ws in segments])
     inner = np.ones(len(ids), bool)
     inner[starts] = False
     at = np.nonzero(inner)[0]
     true = np.zeros((2, 2))
     np.add.at(true, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-    seen = np.bincount(ids, gold, len(words) + 1)
-    freq = np.bincount(ids, minlength=len(words) + 1)
+    seen = np.bincount(ids, gold, len(units) + 1)
+    freq = np.bincount(ids, minlength=len(units) + 1)
     n = len(ids)
     # Adam on the mean log likelihood; word weights start from their own odds.
     theta = [np.log((seen + 0.1) / (freq - seen + 0.5)), np.zeros((2, 2)), np.zeros(1)]
@@ -127,7 +174,7 @@ def fit(segments: list[tuple[int, int, list[str]]], share: float = 0.5) -> Model
     for r in range(1, ROUNDS + 1):
         p, steps = marginals(theta[0][ids], starts, sizes, theta[1], float(theta[2][0]), pairs=True)
         grad = [
-            (seen - np.bincount(ids, p, len(words) + 1)) / np.maximum(freq, 1) - L2 * theta[0],
+            (seen - np.bincount(ids, p, len(units) + 1)) / np.maximum(freq, 1) - L2 * theta[0],
             (true - steps) / max(n, 1) * 50 - L2 * theta[1],
             np.array([(gold[starts] - p[starts]).mean()]) - L2 * theta[2],
         ]
@@ -202,14 +249,14 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        get = m.words.get
+        get = Ids(m.units).__getitem__
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 tokens = [tokens_of(t) for t in texts]
                 starts, sizes = _bounds([len(t) for t in tokens])
-                ids = np.fromiter((get(w, 0) for t in tokens for w in t), np.int64, int(sizes.sum()))
+                ids = np.fromiter((get(w) for t in tokens for w in t), np.int64, int(sizes.sum()))
                 p = marginals(m.weights[ids], starts, sizes, m.trans, m.start)
                 logs = np.concatenate((np.log1p(-np.minimum(p, 1 - 1e-9)), [0.0]))
                 none = np.where(sizes > 0, np.add.reduceat(logs, np.minimum(starts, len(p))), 0.0)
