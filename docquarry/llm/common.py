@@ -49,9 +49,14 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows (counted), else as it is.
+
+    size: so many rows a row stands for by its bytes, where it holds arrays of any length.
+    """
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= rows else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -75,7 +75,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chosen = written(chosen.select("doc_id", "text_hash", "f.h", (-F.col("f.at")).alias("at")).distinct(), "fingerprints")
     twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     matched = chosen.join(twice, "h").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("matched"))
-    matched = small_broadcast(written(matched, "matched").withColumnsRenamed({"doc_id": "d2", "text_hash": "t2"}))
+    matched = small_broadcast(written(matched, "matched").withColumnsRenamed({"doc_id": "d2", "text_hash": "t2"}), size=1 + F.size("matched") / 10)
 
     same = (F.col("text_hash") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d2"))
     near = base.join(matched, same).withColumn("w", _windows(min_words))
@@ -95,7 +95,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     runs = written(runs.withColumn("at", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")), "runs")
     firsts = runs.groupBy("h", "g").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(firsts, ["h", "g"]).where("least < at")
+    # Written first, so that both sides are plain exchanges, of which Spark splits that of a frequent run.
+    later = runs.join(written(firsts, "firsts"), ["h", "g"]).where("least < at")
     gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     removed = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["last"])))))
     return gone.select("doc_id", "text_hash", removed.alias("removed"))
@@ -107,7 +108,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     All rows and columns stay; a null text stays null with no lines, and an empty one has one line.
     """
     gone = written(repeated_lines(docs, min_words), "removed")
-    gone = small_broadcast(gone.select(F.struct("doc_id", "text_hash", "removed").alias("_gone")))
+    gone = small_broadcast(gone.select(F.struct("doc_id", "text_hash", "removed").alias("_gone")), size=1 + F.size("_gone.removed") / 10)
     text = F.col("text").cast("string")
     same = (F.xxhash64(text) == F.col("_gone.text_hash")) & F.col("doc_id").eqNullSafe(F.col("_gone.doc_id"))
     out = docs.join(gone, same, "left").withColumn("_split", F.split(text, "\n"))
