@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Character ranges, line ends and the form of a standard's number.
 CJK = "一-鿿"
 CJK_WIDE = "㐀-䶿一-鿿"
 LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"

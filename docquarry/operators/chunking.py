@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from docquarry.functions import text as T
 
+#: Fixed value.
 STRATEGY = "hierarchical_recursive_v1"
 _LINE_END = re.compile(T.LINE_ENDS)
 

@@ -17,6 +17,7 @@ from docquarry.functions import text as T
 
 WORDS = "document string, page int, page_height double, text string, x0 double, y0 double, x1 double, y1 double, block_no int, line_no int, word_no int"
 LINES = "document string, page int, line_seq int, text string, x0 double, y0 double, x1 double, y1 double"
+#: Tolerances, page shares, reach and depth.
 Y_TOLERANCE, HEADER_RATIO, FOOTER_RATIO, HEADING_REACH, HEADING_GAP, MAX_LEVEL = 3.0, 0.05, 0.90, 5, 25.0, 4
 
 
@@ -166,6 +167,7 @@ def block_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     return rows.select("document", "page", "page_height", "line_seq", "text", "x0", "y0", "x1", "y1", "block_no", "line_no")
 
 
+#: Forms of heading numbers.
 _NUMBER = {"main": r"\d+(?:\.\d+){0,2}", "appendix": r"[A-Z](?:\.\d+){0,2}", "figure": r"图\s*[A-Z](?:\.\d+){0,2}", "table": r"表\s*\d+(?:\.\d+){0,2}"}
 
 

@@ -19,6 +19,7 @@ from docquarry.durable import small_broadcast, written
 from docquarry.functions.models import Score, overlap_scorer, scoring
 from docquarry.functions.tokenizers import Tokenizer, regex_tokenizer
 
+#: Fixed values of BM25 and of the fusion; PLACES is the package's own.
 K1, B, EPSILON, PLACES, RRF = 1.5, 0.75, 0.25, 9, 60
 #: So many question vectors are sent to all tasks at once; more are joined by Spark.
 QUERIES = 4096
