@@ -354,7 +354,7 @@ def token_stats(spark, sf_dir):
 def over_limit_audit(spark, sf_dir):
     n = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.lit(0))
     docs = _table(spark, sf_dir, "documents").select(F.col("text").alias("content"), n.alias("token_count"))
-    return chunking.audit(docs, docs.where("token_count <= 700"), 600, 8192)
+    return chunking.audit(docs, docs, 600, 8192)
 
 
 # --- context and prompts ------------------------------------------------------------------------------------

@@ -26,6 +26,13 @@ def test_same_rows(spark, name):
     assert sorted((tuple(value(r[c]) for c in columns) for r in df.collect()), key=str) == want
 
 
+def test_audit_of_every_document(spark, tmp_path):
+    texts = ["w " * 8193, "w " * 701, "w " * 650, "w " * 600, " \n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    (r,) = queries.over_limit_audit(spark, str(tmp_path)).collect()
+    assert r.asDict() == {"structured_over_model": 1, "over_budget": 3, "over_model": 1, "blank": 2, "verdict": "FAILED"}
+
+
 def test_all_registered():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
     assert set(queries.QUERIES) - set(queries.ORACLES) == {"chunk_pack"}
