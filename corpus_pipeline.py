@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from docquarry.llm import decontaminate, langid, linededup, mixing, simhash
 from docquarry.llm.common import in_fold, table, written
 
-#: A document is rejected if it has no letter, or if no language is likelier than all others together.
+#: A document is rejected if it has no letter, if a model without a language explains it better than all languages, or
+#: if no language is likelier than all others together.
 MIN_LANGUAGE = 0.5
 
 
@@ -20,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus's own lang column names; the rest goes."""
     vocab = langid.vocabulary()
     langs, p = langid.trained(docs.where(~in_fold(F.col("doc_id"), 3, 1)), vocab)
+    langs, p = langid.with_unknown(langs, p)
     known = langid.identified(docs, langs, vocab, p)
     return known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE)).select(*docs.columns)
 

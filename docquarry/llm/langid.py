@@ -118,6 +118,16 @@ def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int]) -> tuple[list[
     return langs, p
 
 
+def with_unknown(langs: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """langs and p with UNKNOWN as one more language, in which all pieces are equally likely.
+
+    It is what training starts from, so a text that it explains better than any language has nothing of them.
+    """
+    even = np.full((len(p), 1), 1 / (len(p) - 1))
+    even[-1] = 0
+    return [*langs, UNKNOWN], np.hstack((p, even))
+
+
 def trained(docs: DataFrame, vocab: dict[str, int], docs_each: int = TRAIN_DOCS, words_each: int = TRAIN_WORDS) -> tuple[list[str], np.ndarray]:
     """fit() on the rows of docs(doc_id, text, lang) whose lang isn't null, at most docs_each of a language."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang")

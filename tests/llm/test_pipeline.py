@@ -69,6 +69,22 @@ def test_shards_in_pieces(spark):
         assert {r["first"].doc_id for r in similar_groups(df, piece=piece).collect()} == want
 
 
+def test_unlearned_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(3)
+    texts = [
+        " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 10))) for _ in range(60)),
+        "это текст на русском языке который не был выучен и должен быть отвергнут",
+        "tämä on suomenkielinen teksti jota ei ole opittu ja joka pitäisi hylätä kokonaan",
+        "这是一段没有学过的中文文本应该被拒绝",
+    ]
+    odd = spark.createDataFrame(list(enumerate(texts, 10**6)), "doc_id long, text string")
+    both = docs.unionByName(odd, allowMissingColumns=True)  # without lang: not learned from
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, SF).collect()}
+    assert not kept & set(range(10**6, 10**6 + len(texts)))
+    assert kept == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = []
