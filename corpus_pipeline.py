@@ -42,8 +42,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark windows cover less than a twentieth, without these windows."""
+    out = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ascii_lower, small_broadcast, table
+from docquarry.llm.common import ascii_lower, small_broadcast, table, written
 
 WINDOW = 13
 _LONG = "long"
@@ -139,12 +139,48 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def without_hits(text: Column, hits: Column) -> Column:
+    """text without the words that hits(start, words) cover; each goes with the signs after it, the others stay as they are."""
+    sign = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    words = F.regexp_extract_all(text, F.lit(rf"[^{sign}]++[{sign}]*+"), F.lit(0))
+    gone = F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["words"] - 1)))
+
+    def kept(w: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0).cast(_LONG), F.size(w).cast(_LONG) - 1), gone)
+        return F.array_join(F.transform(left, lambda i: F.get(w, i.cast("int"))), "")
+
+    # The words are bound to a variable: named inside kept() they would be extracted anew for each word.
+    return F.concat(F.regexp_extract(text, rf"^[{sign}]*+", 0), F.transform(F.array(words), kept)[0])
+
+
+def _hit(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """(_doc_id, _text_hash, _bad, _hits) of the distinct rows with hits."""
+    found = contamination(docs, benchmark, window).where("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), contaminated().alias("_bad"), F.col("hits").alias("_hits"))
+    return written(found.distinct(), "hits")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated rows; all columns are kept, and rows with null ids or texts stay."""
-    out = contamination(docs, benchmark, window).where(contaminated()).select("doc_id", "text_hash").distinct()
-    out = small_broadcast(out.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")))
-    same = docs["doc_id"].eqNullSafe(out["_doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == out["_text_hash"])
-    return docs.join(out, same, "left_anti")
+    """docs without contaminated rows, and without the hit words of the others.
+
+    All columns are kept, and rows with null ids or texts stay. Where words that a cut brings together are hits again, they are cut too.
+    """
+
+    def same(rows: DataFrame, found: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(found["_doc_id"]) & (F.xxhash64(rows["text"].cast("string")) == found["_text_hash"])
+
+    def cut(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
+        found = small_broadcast(found, size=1 + F.size("_hits") / 2)
+        text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(without_hits(F.col("text").cast("string"), F.col("_hits")))
+        return written(rows.join(found, same(rows, found), how).withColumn("text", text).select(*rows.columns), "cut")
+
+    found = _hit(docs, benchmark, window)
+    every = small_broadcast(found.select("_doc_id", "_text_hash"))
+    clean = docs.join(every, same(docs, every), "left_anti")
+    rest = cut(docs, found.where(~F.col("_bad")), "inner")
+    while not (found := _hit(rest, benchmark, window)).isEmpty():
+        rest = cut(rest, found, "left")
+    return clean.unionByName(rest)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,21 @@ def test_decontamination(spark):
     assert decontaminate.decontaminated(odd, b).count() == 3
 
 
+def test_hits_below_the_threshold_are_cut(spark):
+    item = " ".join(f"B{i}" for i in range(20))
+    fill = [" ".join(f"{k}é{i}," for i in range(400)) for k in "xyz"]
+    split = item.split()
+    # The second passage stands inside the first one, which is whole only when the second is gone.
+    nested = " ".join([*split[:10], item, *split[10:]])
+    docs = [(1, f"«{fill[0]}\n{item.lower()}!\n{fill[1]}", "a"), (2, f"{fill[0]} {nested} {fill[1]}", "a"), (None, fill[2], "b"), (3, None, "b"), (4, item, "c")]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame(docs, SCHEMA)
+    left = decontaminate.decontaminated(df, b)
+    assert left.columns == df.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, f"«{fill[0]}\n{fill[1]}"), (2, f"{fill[0]} {fill[1]}"), (None, fill[2]), (3, None)}
+    assert decontaminate.contamination(left, b).where("n_hit > 0").isEmpty()
+
+
 def test_chat(spark):
     turns = [
         (1, 2, "user", "b"), (1, 1, "system", "a"), (1, 3, "user", "c\n"), (1, 4, "assistant", None), (1, 5, "assistant", "x<|im_sep|>\\p\\s\\n<\\|"),
