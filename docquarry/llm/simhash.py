@@ -218,9 +218,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the shingles themselves unless they are connected already.
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 20, 5
-#: Bits; five standard deviations above the expected distance at SIMILARITY.
+BANDS, ROWS = 30, 5
+#: Bits; five standard deviations above the expected distance at SIMILARITY. Sets of fewer than FEW shingles differ in more: FAR.
 REACH = 24
+FEW, FAR = 20, 32
 #: Texts whose shingles one task holds at once; larger shards are cut into pieces, all pairs of which are compared.
 PIECE = 2048
 
@@ -293,7 +294,7 @@ def similar(nodes: list[int], sets: list[np.ndarray], side: list[bool], similari
     prints = [simhash(h) for h in sets]
     for i in sorted(range(len(nodes)), key=lambda i: side[i]):
         if not both or side[i]:
-            for at in tree.within(prints[i], reach):
+            for at in tree.within(prints[i], reach if len(of[i]) >= FEW else max(reach, FAR)):
                 j = place[at]
                 a, b = len(of[i]), len(of[j])
                 if find(i) == find(j) or min(a, b) < similarity * max(a, b):

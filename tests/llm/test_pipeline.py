@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docquarry.llm import decontaminate, linededup, mixing
-from docquarry.llm.simhash import shingles, simhash_dedup
+from docquarry.llm.simhash import bands, shingles, similar, simhash, simhash_dedup
 from tests.llm.duck import got, rows
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,18 @@ def test_unlearned_languages(spark):
     assert kept == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
 
 
+def test_pairs_at_the_threshold():
+    def pairs(shared, a, b, n):
+        rng = np.random.default_rng(9)
+        for _ in range(n):
+            h = rng.integers(0, 1 << 63, a + b - shared, np.uint64)
+            yield np.sort(h[:a]), np.sort(np.concatenate((h[:shared], h[a:])))
+
+    assert all(set(bands(x)) & set(bands(y)) for x, y in pairs(40, 45, 45, 12_000))
+    far = [(x, y) for x, y in pairs(4, 4, 5, 20_000) if ((simhash(x) ^ simhash(y)) & (2**64 - 1)).bit_count() > 24]
+    assert far and all(similar([1, 2], [x, y], [False, False]) for x, y in far)
+
+
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = []
