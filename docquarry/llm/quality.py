@@ -29,7 +29,7 @@ _RUN = re.compile(r"(.)\1+")
 
 
 def shape(token: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     return "\x00" + _RUN.sub(r"\1\1", kinds)
 
 

@@ -137,3 +137,7 @@ def test_quality(spark):
     assert quality.scored(odd.limit(0), model).count() == 0
     none = quality.trained(docs.limit(0), labels)
     assert all(r.score == 0.5 for r in quality.scored(odd, none).collect())
+
+
+def test_shape_of_a_whole_token():
+    assert quality.shape("a" * 50 + "!!!0") == "\x00aa!!0"
