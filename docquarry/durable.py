@@ -1,7 +1,8 @@
-"""Durable intermediates in the folder that driver and executors share, and dense positions."""
+"""Durable intermediates in the folder that driver and executors share, bounded broadcasts, and dense positions."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,15 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests on one machine, a temporary one."""
+    """The folder named in spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine gets a temporary folder; any other is an error, as its executors couldn't
+    read what the driver or other executors wrote there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -24,14 +31,61 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/docquarry/{what}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docquarry_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes what written() made, once nothing lazy reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._docquarry_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Written tables of one operator that go together, once a later table holds what they were for."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, what: str) -> DataFrame:
+        self.made.append(written(df, what))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        for df in self.made:
+            drop_written(df)
+        self.made.clear()
+
+
+def small_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most that many rows (counted, so df should be a written table), else as it is.
+
+    size: so many rows a row stands for by its bytes, where it holds texts or arrays of any length.
+    """
+    if size is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= rows else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, or where df has a column of that name already, longer ones."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
-def small_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def own(df: DataFrame, *but: str) -> list[Column]:
+    """df's columns, whatever signs their names hold, less those named."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
