@@ -1,15 +1,18 @@
-"""Shared helpers of the training-data operators: durable intermediates, text conventions, components."""
+"""Shared helpers of the training-data operators: text conventions, ways back to whole rows, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many rows (of a few dozen bytes each) may be broadcast.
-BROADCAST_ROWS = 200_000
+from docquarry.durable import BROADCAST_ROWS, Scratch, drop_written, fresh, own, shared_dir, small_broadcast, written
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "drop_written", "fresh", "own", "shared_dir", "small_broadcast", "written"]
+
+#: Bits of the map of joined_back(): 4 MB, whatever the size of the data.
+BITS = 1 << 25
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,46 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the session names in spark.checkpoint.dir; only where that is unset, as in tests
-    on one machine, a temporary folder is made and named there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docquarry/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docquarry_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes what written() made, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._docquarry_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
-    """df marked for broadcast if it has at most that many rows (counted), else as it is.
-
-    size: so many rows a row stands for by its bytes, where it holds arrays of any length.
-    """
-    if size is None:
-        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= rows else df
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
@@ -76,7 +39,57 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds) == fold
 
 
-def components(edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once: named inside a lambda, it would be computed anew for each element."""
+    return F.transform(F.array(x), f)[0]
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def bit_map(keys: DataFrame, key: Column, names: tuple[str, str]) -> DataFrame:
+    """The set of key's values in BITS bits, marked for broadcast: two columns of those names, place and bits."""
+    p = F.pmod(key, F.lit(BITS)) + 1
+    place, bits = names
+    maps = keys.select(p.alias("p")).groupBy(F.bitmap_bucket_number("p").alias(place)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bits))
+    return F.broadcast(maps)
+
+
+def may_hold(rows: DataFrame, key: Column, maps: DataFrame, name: str) -> DataFrame:
+    """rows and the column `name`: false where maps, a bit_map(), rules key out."""
+    at = F.pmod(key, F.lit(BITS)) + 1
+    bit = F.bitmap_bit_position(at)
+    place, bits = maps.columns
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = rows.join(maps, F.bitmap_bucket_number(at) == F.col(place), "left")
+    return found.select(*own(rows), F.coalesce(seen, F.lit(False)).alias(name))
+
+
+def joined_back(docs: DataFrame, found: DataFrame, name: str, of_text: Column | None = None) -> DataFrame:
+    """docs and the struct column `name`: the row of found(doc_id, text_hash, ...) for that row, or null.
+
+    found is a written table with a row for each pair at most, and docs' text hash is of_text, by default that of its text.
+    The plan is the same at any size and shuffles no text in vain: a bit map of BITS bits over found's keys, a size that
+    doesn't follow the data, is broadcast; rows that it rules out pass, and only the others are shuffled to meet found.
+    With far more rows in found than bits, that comes to all rows, each shuffled once.
+    """
+    of_text = text_hash() if of_text is None else of_text
+    hashed, seen, place, bits, key, other = fresh(docs, "_hashed", "_seen", "_place", "_bits", "_key", "_other")
+    of_key = lambda doc_id, h: F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00")), h)
+    rows = docs.withColumn(hashed, of_text)
+    rows = rows.withColumn(key, of_key(F.col("doc_id"), F.col(hashed)))
+    known = of_key(F.col("doc_id"), F.col("text_hash"))
+    rows = may_hold(rows, F.col(key), bit_map(found, known, (place, bits)), seen)
+    keyed = found.select(F.struct(*own(found)).alias(name), known.alias(other))
+    same = (F.col(key) == F.col(other)) & (F.col(hashed) == F.col(f"{name}.text_hash")) & F.col("doc_id").eqNullSafe(F.col(f"{name}.doc_id"))
+    some = rows.where(F.col(seen)).join(keyed, same, "left").select(*own(docs), F.col(name))
+    none = rows.where(~F.col(seen)).select(*own(docs), F.lit(None).cast(keyed.schema[name].dataType).alias(name))
+    return none.unionAll(some)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b), component being the smallest node reachable.
 
     Repeated contraction: each node points to its smallest neighbour, pointers are followed to their

@@ -4,17 +4,16 @@ A window is 13 consecutive words of a benchmark item (a shorter item is one wind
 words of a text contain one whole block of the text's partition into blocks of 7 words, so only every
 seventh 7-gram of a document is probed against the hash set of all 7-grams of the items. A block that is
 found carries its two neighbours along; the windows around it are then verified word by word, by a join on
-their whole strings. In general windows of m words are found by blocks of (m + 1) // 2 words.
+their whole strings. The hash set is broadcast within a bound on its bytes; beyond it a bit map of fixed size is, which rules out nearly
+all blocks, and what is left meets the grams in a join. In general windows of m words are found by blocks of (m + 1) // 2 words.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import ascii_lower, small_broadcast, table, written
+from docquarry.llm.common import Scratch, ascii_lower, bit_map, fresh, joined_back, let, may_hold, own, small_broadcast, table, written
 
 WINDOW = 13
 _LONG = "long"
@@ -31,11 +30,11 @@ def _words(spaced: Column) -> Column:
     return F.split(F.rtrim(spaced), " ")
 
 
-def _benchmark(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, list[int]]:
+def _benchmark(benchmark: DataFrame, window: int, tmp: Scratch) -> tuple[DataFrame, DataFrame, list[int]]:
     """(m, gram) of block size, (m, win, items), and the m that occur."""
     items = benchmark.select("item_id", normalised(F.col("text").cast("string")).alias("spaced")).where("spaced <> ''")
     items = items.select("item_id", _words(F.col("spaced")).alias("words"))
-    items = items.withColumn("m", F.least(F.size("words"), F.lit(window)))
+    items = tmp(items.withColumn("m", F.least(F.size("words"), F.lit(window))), "items")
     lengths = sorted((r.m for r in items.select("m").distinct().collect()), reverse=True)  # at most `window` values
 
     def runs(n: Column) -> Column:
@@ -47,9 +46,9 @@ def _benchmark(benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame,
         )
 
     block = F.floor((F.col("m") + 1) / 2).cast("int")
-    grams = items.select("m", runs(block).alias("gram")).distinct()
+    grams = tmp(items.select("m", runs(block).alias("gram")).distinct(), "grams")
     wins = items.select("m", "item_id", runs(F.col("m")).alias("win"))
-    wins = wins.groupBy("m", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    wins = tmp(wins.groupBy("m", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "windows")
     return grams, wins, lengths
 
 
@@ -61,7 +60,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     null item_id hit words but are not named. Long texts are split into small blocks before anything is
     joined. An empty table of documents gives an empty result; other columns are ignored.
     """
-    grams, wins, lengths = _benchmark(benchmark, window)
+    return _contamination(docs, _benchmark(benchmark, window, Scratch()))
+
+
+def _contamination(docs: DataFrame, bench: tuple[DataFrame, DataFrame, list[int]]) -> DataFrame:
+    grams, wins, lengths = bench
     text = F.col("text").cast("string")
     d = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), normalised(text).alias("spaced"))
     n_words = (F.length("spaced") - F.length(F.replace(F.col("spaced"), F.lit(" "), F.lit("")))).cast(_LONG)
@@ -83,7 +86,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     every = F.concat(*(blocks(m) for m in lengths)) if lengths else F.array().cast(empty)
     d = d.select("doc_id", "text_hash", "n_words", F.posexplode_outer(every).alias("at", "x"))
     d = d.select("doc_id", "text_hash", "n_words", F.coalesce("at", F.lit(0)).alias("at"), "x.*")
-    found = d.join(small_broadcast(grams).withColumn("found", F.lit(True)), ["m", "gram"], "left")
+    small = small_broadcast(grams, size=1 + F.octet_length("gram") / 40)
+    if small is grams:
+        hashed = F.xxhash64("m", "gram")
+        d = may_hold(d, hashed, bit_map(grams, hashed, ("place", "bits")), "maybe").where("maybe or at = 0").drop("maybe")
+    found = d.join(small.withColumn("found", F.lit(True)), ["m", "gram"], "left")
     found = found.where("found or at = 0")
     # Windows of m words around a found block; the block is the first whole one of each such window.
     size = F.floor((F.col("m") + 1) / 2).cast("int")
@@ -111,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = found.select(
         "doc_id", "text_hash", "n_words", "m", "w.start", "w.win", ((F.col("at") == 0) & (F.coalesce("nth", F.lit(0)) == 0)).alias("head")
     )
-    found = found.join(small_broadcast(wins), ["m", "win"], "left").where("head or items is not null")
+    found = found.join(small_broadcast(wins, size=1 + (F.octet_length("win") + 12 * F.size("items")) / 40), ["m", "win"], "left").where("head or items is not null")
     hit = F.when(F.col("items").isNotNull(), F.struct("start", F.col("m").cast(_LONG).alias("words")))
     per = found.groupBy("doc_id", "text_hash", "n_words").agg(
         F.sum(F.col("head").cast("int")).alias("rows"),
@@ -149,37 +156,35 @@ def without_hits(text: Column, hits: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0).cast(_LONG), F.size(w).cast(_LONG) - 1), gone)
         return F.array_join(F.transform(left, lambda i: F.get(w, i.cast("int"))), "")
 
-    # The words are bound to a variable: named inside kept() they would be extracted anew for each word.
-    return F.concat(F.regexp_extract(text, rf"^[{sign}]*+", 0), F.transform(F.array(words), kept)[0])
-
-
-def _hit(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(_doc_id, _text_hash, _bad, _hits) of the distinct rows with hits."""
-    found = contamination(docs, benchmark, window).where("n_hit > 0")
-    found = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), contaminated().alias("_bad"), F.col("hits").alias("_hits"))
-    return written(found.distinct(), "hits")
+    return F.concat(F.regexp_extract(text, rf"^[{sign}]*+", 0), let(words, kept))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without contaminated rows, and without the hit words of the others.
 
-    All columns are kept, and rows with null ids or texts stay. Where words that a cut brings together are hits again, they are cut too.
+    All columns are kept, and rows with null ids or texts stay. Where words that a cut brings together are hits again, they are cut
+    too. Repeated rows are treated alike; an empty table, or one without items, comes back as it is.
     """
-
-    def same(rows: DataFrame, found: DataFrame) -> Column:
-        return rows["doc_id"].eqNullSafe(found["_doc_id"]) & (F.xxhash64(rows["text"].cast("string")) == found["_text_hash"])
-
-    def cut(rows: DataFrame, found: DataFrame, how: str) -> DataFrame:
-        found = small_broadcast(found, size=1 + F.size("_hits") / 2)
-        text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(without_hits(F.col("text").cast("string"), F.col("_hits")))
-        return written(rows.join(found, same(rows, found), how).withColumn("text", text).select(*rows.columns), "cut")
-
-    found = _hit(docs, benchmark, window)
-    every = small_broadcast(found.select("_doc_id", "_text_hash"))
-    clean = docs.join(every, same(docs, every), "left_anti")
-    rest = cut(docs, found.where(~F.col("_bad")), "inner")
-    while not (found := _hit(rest, benchmark, window)).isEmpty():
-        rest = cut(rest, found, "left")
+    tmp = Scratch()
+    bench = _benchmark(benchmark, window, tmp)
+    (name,) = fresh(docs, "found")
+
+    def looked_up(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = _contamination(rows, bench).where("n_hit > 0").select("doc_id", "text_hash", contaminated().alias("bad"), "hits")
+        found = written(found.groupBy("doc_id", "text_hash").agg(F.first("bad").alias("bad"), F.first("hits").alias("hits")), "hits")
+        return found, joined_back(rows, found, name)
+
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(without_hits(F.col("text").cast("string"), F.col(f"{name}.hits")))
+    cut = lambda rows: rows.select(*(text.alias("text") if c == "text" else col for c, col in zip(docs.columns, own(docs))))
+    _, rows = looked_up(docs)
+    clean = rows.where(F.col(name).isNull()).select(*own(docs))
+    rest = written(cut(rows.where(~F.col(f"{name}.bad"))), "cut")
+    while True:
+        found, rows = looked_up(rest)
+        if found.isEmpty():
+            break
+        rest = written(cut(rows), "cut")
+    tmp.drop()
     return clean.unionByName(rest)
 
 

@@ -3,10 +3,14 @@ r"""Line dedup by winnowing, with DataFrame functions only.
 Texts are cut at ``\n``; lines without a word never count. A window is the shortest run of following lines
 from a line on that has MIN_WORDS words, or of preceding lines up to it; of each forward window the line with
 the smallest hash is selected as fingerprint, so any run of MIN_WORDS words that occurs twice shares a
-fingerprint. Fingerprint hashes that occur at two positions or more are the matches. Around them, matches are extended
-both ways: every window, forward and backward, whose own minimum is a match is compared as a whole by a hash
-of 128 bits with its first occurrence, by doc_id and position. Windows that occur later are deleted with all
-their lines; their union is every line of every run of MIN_WORDS words or more that has an earlier occurrence.
+fingerprint. Positions whose fingerprint occurs elsewhere too are the matches, joined back to their texts. From each
+match it is extended both ways: a match reaches over every forward and backward window that contains it, each told by a hash of
+128 bits and compared with its first occurrence, by doc_id and position; windows that follow each other carry
+the match on. (Extending line by line against one partner would lose longer matches with others, and against all partners would
+make pairs.) Windows that occur later are deleted with all their lines; their union is every line of every run of
+MIN_WORDS words or more that has an earlier occurrence.
+
+All steps within a text are linear in its lines, for MIN_WORDS as a constant.
 """
 
 from __future__ import annotations
@@ -14,112 +18,122 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import WORD, small_broadcast, table, written
+from docquarry.llm.common import WORD, Scratch, fresh, joined_back, let, own, table, text_hash, written
 
 MIN_WORDS = 50
+_LOW = (1 << 31) - 1
 
 
-def _windows(min_words: int) -> Column:
-    """Of the column lines: structs of first and last place in it (from 1), both ways."""
-    n = F.size("lines")
+def _ends(words: Column, min_words: int) -> Column:
+    """Of word counts: the last place of the forward window from each place on (from 1), as long as there is one."""
 
-    def ahead(i: Column) -> Column:
+    def end(_: Column, i: Column) -> Column:
+        # Words so far in the lower half, lines so far in the upper one.
+        low = lambda a: a.bitwiseAND(F.lit((1 << 32) - 1))
         reach = F.aggregate(
-            F.slice("lines", i, min_words),
-            F.struct(F.lit(0).alias("words"), F.lit(0).alias("k")),
-            lambda a, x: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["k"] + 1).alias("k"))),
+            F.slice(words, i + 1, min_words), F.lit(0).cast("long"), lambda a, x: F.when(low(a) >= min_words, a).otherwise(a + x + F.lit(1 << 32))
         )
-        return F.when(reach["words"] >= min_words, F.struct(i.alias("a"), (i + reach["k"] - 1).alias("b")))
+        return let(reach, lambda r: F.when(low(r) >= min_words, i + F.shiftright(r, 32).cast("int")))
 
-    def behind(i: Column) -> Column:
-        start = F.greatest(F.lit(1), i - min_words + 1)
-        reach = F.aggregate(
-            F.reverse(F.slice("lines", start, i - start + 1)),
-            F.struct(F.lit(0).alias("words"), F.lit(0).alias("k")),
-            lambda a, x: F.when(a["words"] >= min_words, a).otherwise(F.struct((a["words"] + x["words"]).alias("words"), (a["k"] + 1).alias("k"))),
-        )
-        return F.when(reach["words"] >= min_words, F.struct((i - reach["k"] + 1).alias("a"), i.alias("b")))
+    return F.array_compact(F.transform(words, end))
 
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.struct(F.array_compact(F.transform(places, ahead)).alias("ahead"), F.array_compact(F.transform(places, behind)).alias("behind"))
 
+def _minima(hashes: Column, ends: Column) -> Column:
+    """The place of the smallest hash of each forward window, the last of equals."""
+    # Compared by their upper halves; the place goes into the lower one.
+    keys = F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.lit(_LOW) - i.cast("long")))
+    least = lambda ks: F.transform(ends, lambda b, i: F.array_min(F.slice(ks, i + 1, b - i)))
+    return F.transform(let(keys, least), lambda k: (F.lit(_LOW) - k.bitwiseAND(F.lit(_LOW))).cast("int") + 1)
 
-def _minimum(w: Column) -> Column:
-    """The line with the smallest hash in a window, the last of equals: (hash, minus its place)."""
-    part = F.slice("lines", w["a"], w["b"] - w["a"] + 1)
-    return F.array_min(F.transform(part, lambda x, k: F.struct(x["h"].alias("h"), (-(w["a"] + k)).alias("at"))))
+
+def _upto(places: Column, n: Column) -> Column:
+    """Of ascending places: for each of 1 to n, how many of them lie at or before it."""
+    runs = F.flatten(F.transform(places, lambda x, k: F.array_repeat(k + 1, F.coalesce(F.get(places, k + 1), n + 1) - x)))
+    return F.concat(F.array_repeat(F.lit(0), F.coalesce(F.get(places, F.lit(0)), n + 1) - 1), runs)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, removed): indices, from 0, of the lines to delete; a row for each text that has some.
 
     Occurrences are ordered by doc_id (null last), then a hash of the text, then position. Rows that agree in doc_id and text
-    are one document. Null and empty texts have no lines that count.
+    are one document. Null and empty texts have no lines that count; an empty table gives an empty result.
     """
-    line = F.split(F.col("text"), "\n")
+    tmp = Scratch()
     lines = F.filter(
         F.transform(
-            line,
+            F.split(F.col("text").cast("string"), "\n"),
             lambda x, i: F.struct(
-                i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("g"), F.regexp_count(x, F.lit(WORD)).alias("words")
+                i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("line"), x).alias("g"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words")
             ),
         ),
         lambda x: x["words"] > 0,
     )
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    base = base.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
-    base = written(base.where(F.size("lines") > 0), "lines")
-
-    w = base.withColumn("w", _windows(min_words))
-    chosen = w.select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("w.ahead", _minimum))).alias("f"))
-    chosen = written(chosen.select("doc_id", "text_hash", "f.h", (-F.col("f.at")).alias("at")).distinct(), "fingerprints")
-    twice = chosen.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    matched = chosen.join(twice, "h").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("matched"))
-    matched = small_broadcast(written(matched, "matched").withColumnsRenamed({"doc_id": "d2", "text_hash": "t2"}), size=1 + F.size("matched") / 10)
-
-    same = (F.col("text_hash") == F.col("t2")) & F.col("doc_id").eqNullSafe(F.col("d2"))
-    near = base.join(matched, same).withColumn("w", _windows(min_words))
-    # A window's minimum is a selected fingerprint of its text if the window is a forward one; of a backward one
-    # it need not be, so there any match inside counts.
-    ahead = F.filter("w.ahead", lambda x: F.array_contains("matched", -_minimum(x)["at"]))
-    behind = F.filter("w.behind", lambda x: F.exists(F.sequence(x["a"], x["b"]), lambda i: F.array_contains("matched", i)))
-    near = near.select("doc_id", "text_hash", "lines", F.explode(F.array_union(ahead, behind)).alias("x"))
-    part = F.slice("lines", F.col("x.a"), F.col("x.b") - F.col("x.a") + 1)
+    arrays = let(lines, lambda x: F.struct(*(x[c].alias(c) for c in ("i", "h", "g", "words"))))
+    windows = lambda x: let(_ends(x["words"], min_words), lambda e: F.struct(e.alias("ends"), _minima(x["h"], e).alias("minima")))
+    base = docs.select("doc_id", text_hash().alias("text_hash"), let(arrays, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), x["g"].alias("g"), windows(x).alias("w"))).alias("x"))
+    base = base.select("doc_id", "text_hash", "x.i", "x.h", "x.g", "x.w.ends", "x.w.minima").where(F.size("ends") > 0)
+    base = tmp(base, "lines")
+
+    prints = base.select("doc_id", "text_hash", "h", F.explode(F.array_distinct("minima")).alias("at"))
+    prints = prints.select("doc_id", "text_hash", "at", F.element_at("h", F.col("at")).alias("h"))
+    where = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "at")
+    twice = tmp(prints.groupBy("h").agg(F.min(where).alias("least"), F.max(where).alias("most")).where("least <> most").select("h"), "twice")
+    matched = prints.join(twice, "h").groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("matched"))
+    near = joined_back(base, tmp(matched, "matched"), "m", F.col("text_hash")).where("m is not null")
+
+    def touched(x: Column) -> Column:
+        """Structs of first and last place of the windows to compare; x: upto of the matches, starts."""
+        upto = lambda i: F.coalesce(F.get(x["upto"], i - 1), F.lit(0))
+        # A forward window's minimum is a selected fingerprint of its text; a backward one's need not be, so there any match inside counts.
+        ahead = F.transform("ends", lambda b, i: let(F.get("minima", i), lambda m: F.when(upto(m) > upto(m - 1), F.struct((i + 1).alias("a"), b.alias("b")))))
+        behind = F.transform(x["starts"], lambda a, i: F.when((a > 0) & (F.get("ends", a - 1) != i + 1) & (upto(i + 1) > upto(a - 1)), F.struct(a.alias("a"), (i + 1).alias("b"))))
+        return F.array_compact(F.concat(ahead, behind))
+
+    # The backward window up to a place starts where the last forward window that ends there or before does.
+    counts = F.struct(_upto(F.col("m.matched"), F.size("h")).alias("upto"), _upto(F.col("ends"), F.size("h")).alias("starts"))
+    near = near.select("doc_id", "text_hash", "i", "h", "g", F.explode(let(counts, touched)).alias("w"))
+    part = lambda c: F.xxhash64(F.slice(c, F.col("w.a"), F.col("w.b") - F.col("w.a") + 1))
     runs = near.select(
-        "doc_id",
-        "text_hash",
-        F.element_at("lines", F.col("x.a"))["i"].alias("first"),
-        F.element_at("lines", F.col("x.b"))["i"].alias("last"),
-        F.xxhash64(F.transform(part, lambda x: x["h"])).alias("h"),
-        F.xxhash64(F.transform(part, lambda x: x["g"])).alias("g"),
+        "doc_id", "text_hash", F.element_at("i", F.col("w.a")).alias("first"), F.element_at("i", F.col("w.b")).alias("last"), part("h").alias("h"), part("g").alias("g")
     )
-    runs = written(runs.withColumn("at", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")), "runs")
-    firsts = runs.groupBy("h", "g").agg(F.min("at").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    runs = tmp(runs.withColumn("at", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")), "runs")
+    firsts = runs.groupBy("h", "g").agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most").drop("most")
     # Written first, so that both sides are plain exchanges, of which Spark splits that of a frequent run.
-    later = runs.join(written(firsts, "firsts"), ["h", "g"]).where("least < at")
-    gone = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    removed = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["last"])))))
-    return gone.select("doc_id", "text_hash", removed.alias("removed"))
+    later = runs.join(tmp(firsts, "firsts"), ["h", "g"]).where("least < at")
+    gone = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+
+    def lines_of(runs: Column) -> Column:
+        """Sorted by first place, windows are sorted by last place too; each adds what the one before doesn't hold."""
+        start = lambda x, k: F.greatest(x["first"], F.coalesce(F.get(runs, k - 1)["last"] + 1, x["first"]))
+        return F.flatten(F.transform(runs, lambda x, k: F.when(start(x, k) <= x["last"], F.sequence(start(x, k), x["last"])).otherwise(F.array().cast("array<int>"))))
+
+    out = written(gone.select("doc_id", "text_hash", let(F.col("runs"), lines_of).alias("removed")), "removed")
+    tmp.drop()
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text less its later repeated lines, and n_lines and n_removed in the struct column _lines.
 
-    All rows and columns stay; a null text stays null with no lines, and an empty one has one line.
+    All rows and columns stay, but for a column _lines, which is replaced; a null text stays null with no lines, and an empty one
+    has one line. Rows that agree in doc_id and text, null ones too, lose the same lines. An empty table gives an empty result.
     """
-    gone = written(repeated_lines(docs, min_words), "removed")
-    gone = small_broadcast(gone.select(F.struct("doc_id", "text_hash", "removed").alias("_gone")), size=1 + F.size("_gone.removed") / 10)
-    text = F.col("text").cast("string")
-    same = (F.xxhash64(text) == F.col("_gone.text_hash")) & F.col("doc_id").eqNullSafe(F.col("_gone.doc_id"))
-    out = docs.join(gone, same, "left").withColumn("_split", F.split(text, "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_gone.removed")
-    left = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_split", i)), "\n"))
+    docs = docs.select(*own(docs, "_lines"))
+    (name,) = fresh(docs, "gone")
+    out = joined_back(docs, repeated_lines(docs, min_words), name)
+    text, removed = F.col("text").cast("string"), F.col(f"{name}.removed")
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     count = F.struct(
-        F.coalesce(F.size("_split"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone.removed")).cast("long").alias("n_removed"),
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col(name).isNull(), 0).otherwise(F.size(removed)).cast("long").alias("n_removed")
     )
-    out = out.withColumns({"_lines": count, "_left": left})
-    return out.select(*(F.col("_left").alias("text") if c == "text" else c for c in docs.columns), "_lines")
+    cut = F.when(F.col(name).isNull(), text).otherwise(let(F.split(text, "\n"), left))
+    columns = zip(docs.columns, own(docs))
+    return out.select(*(cut.alias("text") if c == "text" else col for c, col in columns), count.alias("_lines"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

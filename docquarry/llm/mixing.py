@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docquarry.llm.common import small_broadcast, table, word_count, written
+from docquarry.llm.common import WORD, fresh, let, own, small_broadcast, table, word_count, written
 
 WEIGHTS = (1, 2, 3)
 EPOCHS = 3
@@ -103,15 +103,29 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """The rows of docs of which the mix takes words, with taken (words, repeats counted) as a further column."""
+    """The mix itself: a row of docs for each time that it is taken, with epoch (from 0) and taken (its words) as further columns.
+
+    The document at which a source's target is reached is taken in part: its text ends after the words that are taken. Columns epoch
+    and taken of docs are replaced. Null texts and texts without words are never taken; repeated rows are taken as often as
+    they are given, those at the cut in equal parts; an empty table gives an empty result.
+    """
+    docs = docs.select(*own(docs, "epoch", "taken"))
+    mine, cut, whole, epoch = fresh(docs, "_own", "_cut", "_taken", "_epoch")
     text = F.col("text").cast("string")
-    own = {"source": F.col("source").cast("string"), "size": word_count(text), "key": _key(F.col("doc_id"), text)}
-    cuts = _cuts(written(docs.select(*(c.alias(n) for n, c in own.items())), "sizes"), weights, epochs)
-    # Structs hold what is computed, so that no column of docs can clash with it.
-    cuts = small_broadcast(cuts.select(F.struct(*cuts.columns).alias("_cut")))
-    out = docs.withColumn("_own", F.struct(*(c.alias(n) for n, c in own.items())))
-    out = out.join(cuts, F.col("_own.source").eqNullSafe(F.col("_cut.source"))).withColumn("_taken", _taken("_own.", "_cut."))
-    return out.where("_taken > 0").select(*docs.columns, F.col("_taken").alias("taken"))
+    parts = {"source": F.col("source").cast("string"), "size": word_count(text), "key": _key(F.col("doc_id"), text)}
+    cuts = _cuts(written(docs.select(*(c.alias(n) for n, c in parts.items())), "sizes"), weights, epochs)
+    # Structs hold what is computed, under names that docs doesn't use.
+    cuts = small_broadcast(cuts.select(F.struct(*cuts.columns).alias(cut)))
+    out = docs.withColumn(mine, F.struct(*(c.alias(n) for n, c in parts.items())))
+    out = out.join(cuts, F.col(f"{mine}.source").eqNullSafe(F.col(f"{cut}.source"))).withColumn(whole, _taken(f"{mine}.", f"{cut}.")).where(F.col(whole) > 0)
+    size = F.col(f"{mine}.size")
+    last = F.floor((F.col(whole) - 1) / size).cast("int")
+    out = out.select(*own(docs), size.alias(mine), F.col(whole), F.explode(F.sequence(F.lit(0), last)).alias(epoch))
+    taken = F.least(F.col(mine), F.col(whole) - F.col(epoch) * F.col(mine))
+    some = let(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*+{WORD}+"), F.lit(0)), lambda ws: F.array_join(F.slice(ws, F.lit(1), taken.cast("int")), ""))
+    cut_text = F.when(taken == F.col(mine), text).otherwise(some)
+    columns = zip(docs.columns, own(docs))
+    return out.select(*(cut_text.alias("text") if c == "text" else col for c, col in columns), F.col(epoch).alias("epoch"), taken.cast("long").alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,13 +72,20 @@ def test_mixing(spark):
     assert abs(sum(r.target for r in per) - total) < 1
     assert out.where("taken > 3 * size").isEmpty()
     kept = mixing.mixed(df)
-    assert kept.columns == [*df.columns, "taken"]
-    assert got(kept, ["doc_id", "taken"]) == got(out.where("taken > 0"), ["doc_id", "taken"])
+    assert kept.columns == [*df.columns, "epoch", "taken"]
+    # By hand: whole texts, and what is left as the beginning of one more copy.
+    texts, want = {d: t for d, t, _ in docs}, []
+    for r in out.where("taken > 0").collect():
+        for n in range(-(-r.taken // r.size)):
+            k = min(r.size, r.taken - n * r.size)
+            want.append((r.doc_id, n, k, texts[r.doc_id] if k == r.size else " ".join(texts[r.doc_id].split()[:k])))
+    assert got(kept, ["doc_id", "epoch", "taken", "text"]) == sorted(want, key=str)
+    assert any(k < len(texts[d].split()) for d, _, k, _ in want) and any(n == 2 for _, n, _, _ in want)
     assert mixing.mixture(df.limit(0)).count() == 0
-    twice = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", None), (None, "d e", None), (2, "f", "t")]
-    assert got(mixing.mixture(spark.createDataFrame(twice, SCHEMA)), columns) == sorted(
-        [x for x in got(mixing.mixture(spark.createDataFrame(twice, SCHEMA)), columns)], key=str
-    )
+    # 9 words in all; by weight s would get 1.5, t 3 and null 4.5, but t has 1 word, so 3 at most.
+    twice = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d", None), (None, "d", None), (2, "f", "t")]
+    per = {r.source_size: (r.target, r.taken) for r in mixing.mixture(spark.createDataFrame(twice, SCHEMA)).collect()}
+    assert per[6][0] == 9 / 6 and per[6][1] == 1 and per[1] == (3.0, 3) and per[2] == (4.5, 2)
     assert mixing.mixture(spark.createDataFrame(twice, SCHEMA)).count() == 5
 
 
