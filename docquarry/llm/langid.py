@@ -1,9 +1,9 @@
 """Language ID by segmentation-marginalised unigrams.
 
 Each language has a probability for each piece of a fixed public vocabulary. A word's probability is the
-sum over all its segmentations into pieces, which a forward pass over its characters gives; piece
+sum over all its segmentations into pieces, of any length, which a forward pass over its characters gives in logarithms; piece
 probabilities are trained by expectation maximisation over all segmentations. A text's score is the product over
-its words, so each distinct word is scored once and kept in a bounded cache.
+its words, so each distinct word is scored once in a task and kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -16,17 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docquarry.llm.common import in_fold, table
+from docquarry.llm.common import Scratch, in_fold, own, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The classifier is fitted on so many documents a language at most, taken by the hash of their ids,
 #: and the most frequent distinct words of these.
 TRAIN_DOCS, TRAIN_WORDS = 500, 20_000
-#: Longer pieces aren't used; longer words are cut into parts of PART characters.
-PIECE, PART = 10, 24
 ROUNDS, SMOOTHING = 4, 0.05
 CACHE = 200_000
+#: Characters whose lattice is held at once; a longer word is held alone.
+BATCH = 1 << 15
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -35,86 +36,131 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall(text.lower()) if text else []
 
 
-def parts_of(word: str) -> list[str]:
-    """The word with its start marked, in parts of bounded length."""
-    word = "▁" + word
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
-
-
 def vocabulary(path: str = VOCABULARY) -> dict[str, int]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= PIECE and not re.fullmatch(r"<.*>", p)))}
+    return {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if not re.fullmatch(r"<.*>", p)))}
+
+
+class Trie:
+    """The pieces as a trie whose steps are looked up for many places at once."""
+
+    def __init__(self, vocab: dict[str, int]) -> None:
+        self.unknown = len(vocab)
+        chars = {c: i for i, c in enumerate(sorted({c for p in vocab for c in p}), 1)}
+        self.code = np.zeros(0x110000, np.int64)  # of characters; 0: in no piece
+        self.code[[ord(c) for c in chars]] = list(chars.values())
+        self.width = len(chars) + 1
+        nodes, piece, steps = {"": 0}, [-1], {}
+        for p, i in vocab.items():
+            for n in range(1, len(p) + 1):
+                if p[:n] not in nodes:
+                    steps[nodes[p[: n - 1]] * self.width + chars[p[n - 1]]] = nodes[p[:n]] = len(piece)
+                    piece.append(-1)
+            piece[nodes[p]] = i
+        self.piece = np.array(piece)
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+
+    def edges(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, id) of all pieces in a sequence of code points, in which 0 separates words."""
+        codes = self.code[chars]
+        start = np.nonzero(chars)[0]
+        node, found, depth = np.zeros(len(start), np.int64), [], 0
+        while len(start):
+            key = node * self.width + codes[np.minimum(start + depth, len(codes) - 1)]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = (self.keys[at] == key) & (codes[np.minimum(start + depth, len(codes) - 1)] > 0) & (start + depth < len(codes))
+            node = np.where(on, self.next[at], 0)
+            ids = np.where(on, self.piece[node], -1)
+            if depth == 0:  # a character that is no piece itself is an unknown one
+                ids = np.where(ids < 0, self.unknown, ids)
+            here = ids >= 0
+            depth += 1
+            found.append((start[here], start[here] + depth, ids[here]))
+            start, node = start[on], node[on]
+        return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
 
 
 class Lattice:
-    """All segmentations of parts: ids[n, i, k] is the piece of k + 1 characters that ends at character i + 1.
+    """All segmentations of words, as edges between the places in them.
 
-    Characters outside the vocabulary are single unknown pieces (id V); V + 1 marks no piece.
+    Characters outside the vocabulary are single unknown pieces (id V).
     """
 
-    def __init__(self, parts: list[str], vocab: dict[str, int]) -> None:
-        v, n = len(vocab), max(map(len, parts), default=0)
-        self.length = np.array([len(p) for p in parts])
-        ids = np.full((len(parts), n, min(PIECE, max(n, 1))), v + 1, np.int32)
-        get = vocab.get
-        for row, p in zip(ids, parts):
-            for end in range(1, len(p) + 1):
-                for k in range(min(PIECE, end)):
-                    found = get(p[end - 1 - k : end])
-                    if found is not None:
-                        row[end - 1, k] = found
-                    elif k == 0:
-                        row[end - 1, 0] = v
-        self.ids = ids
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: (V + 2, L) with zeros last. Probabilities (n, characters + 1, L) of each beginning."""
-        n, chars, widest = self.ids.shape
-        a = np.zeros((n, chars + 1, p.shape[1]))
-        a[:, 0] = 1
-        for i in range(chars):
-            for k in range(min(widest, i + 1)):
-                a[:, i + 1] += a[:, i - k] * p[self.ids[:, i, k]]
+    def __init__(self, words: list[str], trie: Trie) -> None:
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
+        self.last = self.first + sizes
+        chars = np.frombuffer("".join(w + "\0" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.src, self.dst, self.ids = trie.edges(chars)
+        self.places = len(chars)
+        place = np.arange(self.places) - np.repeat(self.first, sizes + 1)
+        self.ahead = self._order(place[self.dst], self.dst)
+        self.steps = place[self.src]
+
+    @staticmethod
+    def _order(step: np.ndarray, to: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By step: edges, where those into a place begin, and these places."""
+        order = np.argsort((step - step.min(initial=0)) * (to.max(initial=0) + 1) + to, kind="stable")
+        out = []
+        for part in np.split(order, np.nonzero(np.diff(step[order]))[0] + 1) if len(order) else ():
+            begin = np.concatenate(([0], np.nonzero(np.diff(to[part]))[0] + 1))
+            out.append((part, begin, to[part][begin]))
+        return out
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """logp: (V + 1, L). Log probabilities (places, L) of each beginning of each word."""
+        a = np.zeros((self.places, logp.shape[1]))
+        for edges, begin, to in self.ahead:
+            a[to] = np.logaddexp.reduceat(a[self.src[edges]] + logp[self.ids[edges]], begin, axis=0)
         return a
 
-    def total(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[np.arange(len(self.length)), self.length]
-
-    def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected count of each piece over all segmentations; p: (V + 2, 1)."""
-        n, chars, widest = self.ids.shape
-        a = self.forward(p)[:, :, 0]
-        b = np.zeros((n, chars + 1))
-        b[np.arange(n), self.length] = 1
-        out = np.zeros(len(p))
-        scale = counts / np.maximum(a[np.arange(n), self.length], 1e-300)
-        for i in range(chars - 1, -1, -1):
-            for k in range(min(widest, i + 1)):
-                w = p[self.ids[:, i, k], 0] * b[:, i + 1]
-                out += np.bincount(self.ids[:, i, k], a[:, i - k] * w * scale, len(p))
-                b[:, i - k] += w
-        return out
+    def total(self, logp: np.ndarray) -> np.ndarray:
+        return self.forward(logp)[self.last]
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected count of each piece over all segmentations; logp: (V + 1, 1)."""
+        a, b = self.forward(logp)[:, 0], np.zeros(self.places)
+        for edges, begin, to in self._order(-self.steps, self.src):
+            b[to] = np.logaddexp.reduceat(b[self.dst[edges]] + logp[self.ids[edges], 0], begin)
+        word = np.repeat(np.arange(len(self.last)), self.last - self.first + 1)[self.src]
+        share = np.exp(a[self.src] + logp[self.ids, 0] + b[self.dst] - a[self.last][word])
+        return np.bincount(self.ids, share * counts[word], len(logp))
+
+
+def batches_of(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words, by length, in batches of BATCH characters."""
+    part, size = [], 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if part and size + len(words[i]) > BATCH:
+            yield part
+            part, size = [], 0
+        part.append(i)
+        size += len(words[i])
+    if part:
+        yield part
+
+
+def marked(words: list[str]) -> list[str]:
+    """Each with its start marked, as in the vocabulary."""
+    return ["▁" + w for w in words]
 
 
 def fit(counts: dict[str, dict[str, int]], vocab: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities (V + 2, L) from word counts by language."""
-    langs, v = sorted(counts), len(vocab)
-    p = np.zeros((v + 2, len(langs)))
+    """Languages and piece probabilities (V + 1, L) from word counts by language; the last is that of an unknown piece."""
+    langs, v, trie = sorted(counts), len(vocab), Trie(vocab)
+    p = np.zeros((v + 1, len(langs)))
     for at, lang in enumerate(langs):
-        by_part: dict[str, int] = {}
-        for word, n in counts[lang].items():
-            for part in parts_of(word):
-                by_part[part] = by_part.get(part, 0) + n
-        lattice, n = Lattice(list(by_part), vocab), np.array(list(by_part.values()), float)
-        own = np.full((v + 2, 1), 1 / (v + 1))
-        own[-1] = 0
+        words, n = marked(list(counts[lang])), np.array(list(counts[lang].values()), float)
+        parts = [(Lattice([words[i] for i in part], trie), n[part]) for part in batches_of(words)]
+        own_p = np.full((v + 1, 1), 1 / (v + 1))
         for _ in range(ROUNDS):
-            e = lattice.expected(own, n)[:-1] + SMOOTHING
-            own[:-1, 0] = e / e.sum()
-        p[:, at] = own[:, 0]
+            e = sum((lattice.expected(np.log(own_p), k) for lattice, k in parts), np.full(v + 1, SMOOTHING))
+            own_p[:, 0] = e / e.sum()
+        p[:, at] = own_p[:, 0]
     return langs, p
 
 
@@ -123,33 +169,46 @@ def with_unknown(langs: list[str], p: np.ndarray) -> tuple[list[str], np.ndarray
 
     It is what training starts from, so a text that it explains better than any language has nothing of them.
     """
-    even = np.full((len(p), 1), 1 / (len(p) - 1))
-    even[-1] = 0
-    return [*langs, UNKNOWN], np.hstack((p, even))
+    return [*langs, UNKNOWN], np.hstack((p, np.full((len(p), 1), 1 / len(p))))
 
 
 def trained(docs: DataFrame, vocab: dict[str, int], docs_each: int = TRAIN_DOCS, words_each: int = TRAIN_WORDS) -> tuple[list[str], np.ndarray]:
-    """fit() on the rows of docs(doc_id, text, lang) whose lang isn't null, at most docs_each of a language."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang")
-    by_hash = W.partitionBy("lang").orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "doc_id")
-    chosen = rows.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs_each).select("doc_id", "lang").distinct()
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"])
-    words = sample.mapInArrow(_counted, "lang string, word string, n long")
-    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = W.partitionBy("lang").orderBy(F.desc("n"), "word")
+    """fit() on the rows of docs(doc_id, text, lang) whose lang and text aren't null, at most docs_each of a language.
+
+    Rows that agree in doc_id and lang count as one, with one of their texts; null ids are one id. An empty table gives no languages.
+    The sample is told by a threshold on the hash of ids, twice as many as sought, so no task gets all rows of a language; of words that tie at the
+    bound none is taken.
+    """
+    tmp = Scratch()
+    rows = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    per = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    digest = F.md5(F.coalesce("doc_id", F.lit("")).cast("binary"))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    some = rows.join(F.broadcast(per), "lang").where(share * F.col("n") <= 2 * docs_each)  # per: a row a language
+    some = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    by_hash = W.partitionBy("lang").orderBy(digest)
+    chosen = some.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= docs_each)
+    words = chosen.select("text", "lang").mapInArrow(_counted, "lang string, word string, n long")
+    words = tmp(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    left, least = {}, {}
+    for r in sorted(words.groupBy("lang", "n").count().collect(), key=lambda r: -r.n):  # a row for each frequency
+        left[r.lang] = left.get(r.lang, words_each) - r["count"]
+        if left[r.lang] >= 0:
+            least[r.lang] = r.n
+    bound = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
     counts: dict[str, dict[str, int]] = {}
-    for r in words.withColumn("r", F.row_number().over(top)).where(F.col("r") <= words_each).collect():
+    for r in words.join(F.broadcast(bound), "lang").where("n >= least").collect():  # words_each a language at most
         counts.setdefault(r.lang, {})[r.word] = r.n
-    return fit(counts, vocab)
+    tmp.drop()
+    return fit({lang: dict(sorted(of.items())) for lang, of in counts.items()}, vocab)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from collections import Counter
 
     for b in batches:
-        at = {n: b.schema.get_field_index(n) for n in ("text", "lang")}
         found: Counter = Counter()
-        for text, lang in zip(b.column(at["text"]), b.column(at["lang"]).to_pylist()):
+        for text, lang in zip(b.column(0), b.column(1).to_pylist()):
             for w, n in Counter(words_of(text.as_py())).items():
                 found[lang, w] += n
         yield pa.RecordBatch.from_arrays(
@@ -159,10 +218,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Scorer:
-    """Log probabilities of texts under each language."""
+    """Log probabilities of words under each language, kept for CACHE words."""
 
     def __init__(self, vocab: dict[str, int], p: np.ndarray) -> None:
-        self.vocab, self.p = vocab, p
+        self.trie, self.logp = Trie(vocab), np.log(p)
         self.at: dict[str, int] = {}
         self.logs = np.zeros((CACHE, p.shape[1]))
 
@@ -170,25 +229,18 @@ class Scorer:
         if len(self.at) + len(new) > CACHE:
             self.at.clear()
         if len(new) > len(self.logs):
-            self.logs = np.zeros((len(new), self.p.shape[1]))
-        new.sort(key=len)
-        for i in range(0, len(new), 4096):
-            words = new[i : i + 4096]
-            parts = [parts_of(w) for w in words]
-            lattice = Lattice([x for ps in parts for x in ps], self.vocab)
-            logs = np.log(np.maximum(lattice.total(self.p), 1e-300))
-            starts = np.concatenate(([0], np.cumsum([len(ps) for ps in parts])[:-1]))
+            self.logs = np.zeros((len(new), self.logp.shape[1]))
+        for part in batches_of(new):
+            words = [new[i] for i in part]
             first = len(self.at)
-            self.logs[first : first + len(words)] = np.add.reduceat(logs, starts)
+            self.logs[first : first + len(words)] = Lattice(marked(words), self.trie).total(self.logp)
             self.at.update(zip(words, range(first, first + len(words))))
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Sum over the words of one chunk, which may be any part of a text."""
-        new = list(set(words).difference(self.at))
-        if len(self.at) + len(new) > CACHE and len(set(words)) > len(new):
-            new = list(set(words))
-            self.at.clear()
-        self._learn(new)
+        """A row for each word of one chunk, which may be any part of a text."""
+        every = set(words)
+        new = every.difference(self.at)
+        self._learn(sorted(every if len(self.at) + len(new) > CACHE else new))
         rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         return self.logs[rows]
 
@@ -197,16 +249,18 @@ def identified(docs: DataFrame, langs: list[str], vocab: dict[str, int], p: np.n
     """docs with lang_pred and lang_score, from column text alone.
 
     lang_pred is und, with score 0, if text is null or has no letter (or nothing was learned); else the
-    likeliest language, equal ones in order, and its posterior over all of them. Rows and other columns stay.
+    likeliest language, equal ones in order, and its posterior over all of them. Rows and other columns stay; columns lang_pred and
+    lang_score of docs are replaced. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((langs, vocab, p))
+    docs = docs.select(*own(docs, "lang_pred", "lang_score"))
+    model = docs.sparkSession.sparkContext.broadcast((langs, vocab, p))
+    text_at = docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, vocab, p = model.value
         scorer = Scorer(vocab, p)
         for b in batches:
-            column = b.column(b.schema.get_field_index("text"))
+            column = b.column(text_at)
             sums, words, ends = np.zeros((len(column), len(langs))), [], []
             some = np.zeros(len(column), bool)
 
@@ -236,9 +290,11 @@ def identified(docs: DataFrame, langs: list[str], vocab: dict[str, int], p: np.n
             score = np.where(some, posterior, 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
 
-    names = [f"c{i}" if c != "text" else "text" for i, c in enumerate(docs.columns)]
-    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields))
-    out = docs.toDF(*names).mapInArrow(of, f"{schema}, lang_pred string, lang_score double")
+    # Names that can't clash on the way; text is read as a string.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    fields = [T.StructField(n, T.StringType() if i == text_at else f.dataType) for i, (n, f) in enumerate(zip(names, docs.schema.fields))]
+    plain = docs.toDF(*names).withColumn(names[text_at], F.col(names[text_at]).cast("string"))
+    out = plain.mapInArrow(of, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
     return out.toDF(*docs.columns, "lang_pred", "lang_score")
 
 

@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import in_fold, table
+from docquarry.llm.common import Scratch, in_fold, table
 
 BUCKETS, DIMS, NONZERO, NEAR = 1 << 14, 32, 6, 2
-#: Documents of each label that are fitted to, by the hash of their ids, and the parts they are dealt to.
-TRAIN_DOCS, PARTS = 2500, 8
+#: Documents of each label that are fitted to, by the hash of their ids.
+TRAIN_DOCS = 2500
+#: Tokens whose contexts are counted at once.
+CONTEXT = 1 << 19
 HIDDEN, EPOCHS, RATE, L2 = 24, 60, 0.01, 1e-4
 CACHE = 150_000
 _RUN = re.compile(r"(.)\1+")
@@ -135,27 +137,49 @@ def network(x: np.ndarray, y: np.ndarray, share: float, seed: int = 3) -> tuple[
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits to rows of labels(doc_id, quality) whose documents are in docs, TRAIN_DOCS of each label at most."""
+    """Fits to rows of labels(doc_id, quality) whose documents are in docs, TRAIN_DOCS of each label at most.
+
+    Null ids and labels are left out; of several labels of an id the larger counts, and of several rows of an id the text that comes first.
+    Null texts are empty ones. Without rows the model gives every text 0.5.
+    """
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id")
+    tmp = Scratch()
+    known = tmp(known, "labelled")
     n = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     order = F.md5(F.col("_id").cast("string").cast("binary"))
     chosen = known.where("_y = 0").orderBy(order, "_id").limit(TRAIN_DOCS).unionByName(known.where("_y = 1").orderBy(order, "_id").limit(TRAIN_DOCS))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    rows = rows.select("doc_id", "_y", "text").repartition(PARTS, "doc_id")
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "_y").agg(F.min(F.col("text").cast("string")).alias("text"))
+    rows = tmp(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id"), "sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((BUCKETS, DIMS))
+        index = index_vectors()
+        names = ["bucket", *(f"d{i}" for i in range(DIMS))]
+
+        def summed(held: list[list[int]]) -> pa.RecordBatch:
+            ids = np.array([x for h in held for x in h], np.int64)
+            total = context_sums(ids, np.repeat(np.arange(len(held)), [len(h) for h in held]), index)
+            some = np.nonzero(total.any(1))[0]
+            return pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, i]) for i in range(DIMS))], names)
+
+        held, size = [], 0
         for b in batches:
             for text in b.column(2):
-                tokens = (text.as_py() or "").split()
-                ids = [x for t in tokens for x in (bucket(t.lower()), bucket(shape(t)))]
-                total += context_sums(np.array(ids, np.int64), np.zeros(len(ids), np.int8), index)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
-
+                held.append([x for t in (text.as_py() or "").split() for x in (bucket(t.lower()), bucket(shape(t)))])
+                size += len(held[-1])
+                if size >= CONTEXT:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    # One row for each bucket, whatever the number of tasks.
+    parts = rows.mapInArrow(sums, "bucket long, " + ", ".join(f"d{i} double" for i in range(DIMS)))
+    got = parts.groupBy("bucket").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(DIMS))).toArrow()
     total = np.zeros((BUCKETS, DIMS))
-    for r in rows.mapInArrow(sums, "sums binary").collect():  # PARTS matrices of fixed size
-        total += np.frombuffer(r.sums, np.float32).reshape(BUCKETS, DIMS)
+    if len(got):
+        total[got.column("bucket").to_numpy()] = np.stack([got.column(f"d{i}").to_numpy() for i in range(DIMS)], 1)
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
@@ -165,7 +189,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
             x = [pooler.features(t.as_py()).tolist() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = sorted(rows.mapInArrow(pooled, "doc_id long, y int, x array<double>").collect(), key=lambda r: (r.doc_id, r.x))
+    got = sorted(rows.mapInArrow(pooled, "doc_id long, y int, x array<double>").collect(), key=lambda r: r.doc_id)
+    tmp.drop()
     if not got:
         size = 2 * DIMS + 3
         return Model(vectors, np.zeros(size), np.ones(size), [np.zeros((size, 1)), np.zeros(1), np.zeros(1), np.zeros(1)], 1.0)
@@ -178,7 +203,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for each row of docs(doc_id, text).
 
     A null text is scored as an empty one; rows with a null doc_id and repeated rows stay; other columns are
-    ignored.
+    ignored. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
