@@ -3,7 +3,8 @@ r"""Chat formatting with DataFrame functions only.
 A conversation is one string: per block ``<|im_start|>role\n``, the texts of adjacent turns of that role
 with ``<|im_sep|>`` between them, and ``<|im_end|>\n``. Inside roles and texts a backslash is written
 ``\s`` and ``<|`` is written ``\p`` (in roles a line feed ``\n`` too), so that no control string can be
-part of them and reading back is exact.
+part of them and reading back is exact. The loss mask is an array of spans of the string, one for each assistant text,
+in bytes of its UTF-8 form, so that cutting a span out takes no longer at the end of a long string.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import table
+from docquarry.llm.common import let, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
+#: Lengths are summed in blocks of so many.
+BLOCK = 256
 
 
 def _replace(c: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -30,8 +33,22 @@ def unescaped(c: Column, role: bool = False) -> Column:
     return _replace(c, [("\\n", "\n")] * role + [("\\p", "<|"), ("\\s", "\\")])
 
 
+def _before(lengths: Column) -> Column:
+    """Sums of the lengths that come before each, by blocks."""
+    total = lambda xs, start, n: F.aggregate(F.slice(xs, start, n), F.lit(0), lambda a, x: a + x)
+
+    def sums(xs: Column) -> Column:
+        blocks = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        own = F.transform(blocks, lambda k: total(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        upto = let(own, lambda ss: F.transform(ss, lambda _, k: total(ss, F.lit(1), k)))
+        at = lambda i: F.floor(i / BLOCK).cast("int")
+        return let(upto, lambda u: F.transform(xs, lambda _, i: F.get(u, at(i)) + total(xs, at(i) * BLOCK + 1, i - at(i) * BLOCK)))
+
+    return let(lengths, sums)
+
+
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted) from turns(conv_id, turn, role, text).
+    """(conv_id, formatted, mask) from turns(conv_id, turn, role, text); mask: (start, end) of each assistant text in it.
 
     Turns are ordered by turn (nulls last), ties by role and text; null roles and texts are empty. A
     repeated row is a further turn. All rows with a null conv_id are one conversation. The string of a
@@ -45,10 +62,23 @@ def formatted(turns: DataFrame) -> DataFrame:
     def piece(x: Column, i: Column) -> Column:
         same = F.get("turns", i - 1)["role"] == x["role"]
         head = F.concat(F.when(i == 0, "").otherwise(END), F.lit(START), escaped(x["role"], True), F.lit("\n"))
-        return F.concat(F.when(same, SEP).otherwise(head), escaped(x["text"]))
+        return F.struct(F.when(same, SEP).otherwise(head).alias("head"), escaped(x["text"]).alias("body"), (x["role"] == "assistant").alias("loss"))
+
+    def put(ps: Column) -> Column:
+        joined = F.concat(F.array_join(F.transform(ps, lambda p: F.concat(p["head"], p["body"])), ""), F.lit(END))
+        size = lambda p: F.octet_length(p["head"]) + F.octet_length(p["body"])
+        spans = lambda before: F.transform(
+            ps, lambda p, i: F.when(p["loss"], let(F.get(before, i) + F.octet_length(p["head"]), lambda s: F.struct(s.alias("start"), (s + F.octet_length(p["body"])).alias("end"))))
+        )
+        return F.struct(joined.alias("formatted"), F.array_compact(let(_before(F.transform(ps, size)), spans)).alias("mask"))
+
+    return one.select("conv_id", let(F.transform("turns", piece), put).alias("f")).select("conv_id", "f.formatted", "f.mask")
+
 
-    joined = F.concat(F.array_join(F.transform("turns", piece), ""), F.lit(END))
-    return one.select("conv_id", joined.alias("formatted"))
+def under_mask() -> Column:
+    """The texts that the mask shows, read out of formatted."""
+    cut = lambda raw: F.transform("mask", lambda m: unescaped(F.substring(raw, m["start"] + 1, m["end"] - m["start"]).cast("string")))
+    return F.array_join(let(F.col("formatted").cast("binary"), cut), "")
 
 
 def read_back(of: DataFrame) -> DataFrame:
@@ -76,8 +106,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     back = read_back(formatted(rows.unionByName(extra)))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    back = back.select("conv_id", "formatted", "turns", loss.alias("loss"))
+    back = back.select("conv_id", "formatted", "turns", under_mask().alias("loss"))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

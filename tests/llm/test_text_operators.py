@@ -152,6 +152,12 @@ def test_chat(spark):
     for conv in {t[0] for t in turns}:
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is None, t[1] or 0, t[2] or "", t[3] or ""))
         assert [(t.role, t.text) for t in back[conv].turns] == [(t[2] or "", t[3] or "") for t in own]
+        assert [back[conv].formatted.encode()[m.start : m.end].decode() for m in back[conv].mask] == [
+            (t[3] or "").replace("\\", "\\s").replace("<|", "\\p") for t in own if t[2] == "assistant"
+        ]
+    many = spark.range(3000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('é', id) as text")
+    (r,) = chat.formatted(many).select(chat.under_mask().alias("loss")).collect()
+    assert r.loss == "".join(f"é{i}" for i in range(1, 3000, 2))
     assert back[1].formatted.startswith("<|im_start|>system\na<|im_end|>\n<|im_start|>user\nb<|im_sep|>c\n<|im_end|>\n")
     assert chat.formatted(df.limit(0)).count() == 0
     kinds = [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())]
