@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from docquarry.llm.common import components, small_broadcast, table, written
+from docquarry.llm.common import Scratch, components, fresh, joined_back, own, table, text_hash, written
 
 #: Largest BK-tree, in fingerprints.
 SHARD = 512
@@ -158,10 +157,17 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     if radius > 2:
         raise ValueError("three blocks find a distance of 2 at most")
     first = [(0, 21), (21, 21), (42, 22)]
-    counted = W.partitionBy("key")
-    keyed = fps.select("fp", F.explode(F.array(*_blocks(F.col("fp"), first))).alias("key"))
-    keyed = keyed.withColumn("n", F.count("*").over(counted)).where("n > 1").withColumn("side", F.lit(False))
-    edges = _searched(keyed.where(F.col("n") <= shard), radius)
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """With n, the rows of their key, where there are several; counted before they move, and joined to where a hot key may be split."""
+        return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+    def together(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("n") <= shard).withColumn("side", F.lit(False))
+        return rows.repartition("key").sortWithinPartitions("key")
+
+    keyed = counted(fps.select("fp", F.explode(F.array(*_blocks(F.col("fp"), first))).alias("key")))
+    edges = _searched(together(keyed), radius)
     # Too many for one tree: the bits outside the agreed block are cut into three again.
     large = keyed.where(F.col("n") > shard)
     finer = None
@@ -172,9 +178,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
         sub = F.explode(F.array(*_blocks(rest, [(0, 14), (14, 14), (28, 64 - bits - 28)]))).alias("sub")
         part = large.where(F.col("key") % 16 == i).select("fp", "key", sub)
         finer = part if finer is None else finer.unionByName(part)
-    finer = finer.select("fp", F.struct("key", "sub").alias("key"))
-    finer = finer.withColumn("n", F.count("*").over(counted)).where("n > 1").withColumn("side", F.lit(False))
-    edges = edges.unionByName(_searched(finer.where(F.col("n") <= shard), radius))
+    finer = counted(finer.select("fp", F.struct("key", "sub").alias("key")))
+    edges = edges.unionByName(_searched(together(finer), radius))
     # And what still agrees: pairs of pieces.
     pieces = finer.where(F.col("n") > shard).withColumn("pieces", F.ceil(F.col("n") / F.lit(shard)).cast("long"))
     pieces = pieces.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("pieces")))
@@ -196,13 +201,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
     no row of their component has an id. Repeated rows stay as often as they are given; other columns are
     ignored; an empty table gives an empty result.
     """
+    tmp = Scratch()
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = tmp(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     found = components(links(nodes.select("fp"), radius, shard))
     smallest = nodes.join(found, nodes.fp == found.node).groupBy("component").agg(F.min("first").alias("component_id"))
-    member = written(found.join(smallest, "component").select(F.col("node").alias("fp"), "component_id"), "members")
+    member = tmp(found.join(smallest, "component").select(F.col("node").alias("fp"), "component_id"), "members")
     classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(written(classes, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
+    classes = written(classes, "classes")
+    tmp.drop()
+    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +230,8 @@ BANDS, ROWS = 30, 5
 #: Bits; five standard deviations above the expected distance at SIMILARITY. Sets of fewer than FEW shingles differ in more: FAR.
 REACH = 24
 FEW, FAR = 20, 32
-#: Texts whose shingles one task holds at once; larger shards are cut into pieces, all pairs of which are compared.
-PIECE = 2048
+#: Shingles that one side of a comparison holds, about; larger shards are cut into pieces, all pairs of which are compared.
+PIECE = 300_000
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -264,7 +272,7 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, bands): node is a hash of the set of shingles."""
+    """(doc_id, text_hash, node, shingles, bands): node is a hash of the set of shingles, shingles their number."""
     import xxhash
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +280,11 @@ def _described(docs: DataFrame) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), keys], ["doc_id", "text_hash", "node", "bands"])
+            sizes = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), sizes, keys], ["doc_id", "text_hash", "node", "shingles", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(of, "doc_id long, text_hash long, node long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(of, "doc_id long, text_hash long, node long, shingles long, bands array<long>")
 
 
 def similar(nodes: list[int], sets: list[np.ndarray], side: list[bool], similarity: float = SIMILARITY, reach: int = REACH) -> list[tuple[int, int]]:
@@ -314,20 +323,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, piece: int =
     Texts are linked at that Jaccard similarity of their sets of SHINGLE-word shingles, and equal sets always are, texts without words
     among them. Rows are ordered by doc_id (null last), then by a hash of the text.
     """
+    tmp = Scratch()
     rows = written(_described(docs), "described")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = written(rows.groupBy("node").agg(F.min(at).alias("first"), F.first("bands").alias("bands")), "sets")
+    nodes = tmp(rows.groupBy("node").agg(F.min(at).alias("first"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets")
     keyed = nodes.select("node", F.explode("bands").alias("band"))
     least = keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     loose = keyed.join(least, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    shards = written(components(loose), "shards")
-    sized = shards.groupBy("component").agg(F.count("*").alias("n"))
-    members = shards.join(sized, "component").join(nodes.select("node", "first"), "node")
-    members = written(members.select("node", "component", "n", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")), "members")
+    shards = tmp(components(loose), "shards").join(nodes.select("node", "first", "shingles"), "node")
+    shards = tmp(shards, "sized")
+    sized = shards.groupBy("component").agg(F.sum("shingles").alias("all"))
+    members = shards.join(sized, "component").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "node", "component", "all")
+    members = tmp(members, "members")
     text = F.col("text").cast("string")
-    same = (F.xxhash64(text) == F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
-    texts = docs.select("doc_id", "text").join(small_broadcast(members), same).select("node", "component", "n", text.alias("text"))
-    pieces = F.ceil(F.col("n") / F.lit(piece)).cast("long")
+    plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    texts = joined_back(plain, members, "m").where("m is not null").select("m.node", "m.component", "m.all", "text")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("all") / F.lit(piece))).cast("long")
     texts = texts.withColumn("own", F.pmod(F.xxhash64("node"), pieces))
     texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     key = F.struct("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
@@ -352,32 +363,28 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, piece: int =
         yield done()
 
     texts = texts.repartition("key").sortWithinPartitions("key", "node")
-    groups = written(components(texts.mapInArrow(of, "a long, b long")), "groups")
+    groups = tmp(components(texts.mapInArrow(of, "a long, b long")), "groups")
     first = nodes.join(groups, "node").groupBy("component").agg(F.min("first").alias("least"))
     joined = groups.join(first, "component").select("node", "least")
     classes = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("first"))
-    return rows.select("doc_id", "text_hash", "node").join(written(classes, "classes"), "node")
+    classes = written(classes, "classes")
+    tmp.drop()
+    return rows.select("doc_id", "text_hash", "node").join(classes, "node")
 
 
 def simhash_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs less all rows of a group of similar texts but the one with the smallest doc_id (null last).
 
-    All columns stay. Of rows that agree in doc_id and text one stays.
+    All columns stay. Of rows that agree in doc_id and text one stays; texts without words, null ones too, are one group. An empty table
+    gives an empty result.
     """
     groups = similar_groups(docs, similarity)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    gone = written(groups.where(own != F.col("first")).select("doc_id", "text_hash").distinct(), "gone")
-    gone = small_broadcast(gone.select(F.struct("doc_id", "text_hash").alias("_gone")))
-    hashed = F.xxhash64(docs["text"].cast("string"))
-    same = (hashed == F.col("_gone.text_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_gone.doc_id"))
-    left = docs.join(gone, same, "left_anti")
-    twice = written(groups.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    if twice.isEmpty():
-        return left
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    odd = groups.groupBy("doc_id", "text_hash").agg(F.min(mine == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    odd = written(odd.where("not stays or n > 1"), "odd")
+    name, hashed = fresh(docs, "odd", "hashed")
+    rows = joined_back(docs, odd, name)
+    once = rows.where(F.col(name).isNull()).select(*own(docs))
     # Only where a row was given more than once.
-    twice = small_broadcast(twice.select(F.struct("doc_id", "text_hash").alias("_twice")))
-    hashed = F.xxhash64(left["text"].cast("string"))
-    same = (hashed == F.col("_twice.text_hash")) & left["doc_id"].cast("long").eqNullSafe(F.col("_twice.doc_id"))
-    once = left.join(twice, same, "left_anti")
-    again = left.withColumn("_hash", hashed).join(twice, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    again = rows.where(F.col(f"{name}.stays")).withColumn(hashed, F.col(f"{name}.text_hash")).dropDuplicates(["doc_id", hashed]).select(*own(docs))
     return once.unionByName(again)
