@@ -17,8 +17,18 @@ from docquarry.llm.common import in_fold, table, written
 MIN_LANGUAGE = 0.5
 
 
+def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out with n_chars, if docs has it, told anew from its text."""
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the corpus's own lang column names; the rest goes."""
+    """Documents in one of the languages that the corpus's own lang column names; the rest goes.
+
+    Null texts and texts without letters go; without any language in the corpus all documents go. Repeated rows are treated alike.
+    """
     vocab = langid.vocabulary()
     langs, p = langid.trained(docs.where(~in_fold(F.col("doc_id"), 3, 1)), vocab)
     langs, p = langid.with_unknown(langs, p)
@@ -27,31 +37,37 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that are part of an earlier run; documents of which no word is left go."""
+    """Texts without lines that are part of an earlier run; documents of which no word is left go.
+
+    Null and empty texts stay as they are, and so does an empty table. Repeated rows lose the same lines.
+    """
     out = linededup.line_dedup(docs)
     some = (F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(some | F.col("text").isNull())
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return _sized(out.where(some | F.col("text").isNull()), docs).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group whose 5-word shingles are alike to 0.8 or more."""
+    """One document, the first, of each group whose 5-word shingles are alike to 0.8 or more.
+
+    Texts without words, null ones too, are one group, and rows that agree in doc_id and text are one document.
+    """
     return simhash.simhash_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth, without these windows."""
-    out = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out
+    """Documents of which benchmark windows cover less than a twentieth, without these windows.
+
+    Null and empty texts stay; without benchmark items all documents stay as they are.
+    """
+    return _sized(decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix of sources takes, with the words taken of each."""
-    return mixing.mixed(docs)
+    """The mix of sources: a row each time that a document is taken, with epoch and the words taken; the last of a source may be cut.
+
+    Documents without words are never taken. Null sources are one source.
+    """
+    return _sized(mixing.mixed(docs), docs)
 
 
 STAGES = [
