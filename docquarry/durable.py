@@ -100,3 +100,9 @@ def with_position(df: DataFrame, order: list[Column | str], name: str) -> DataFr
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     out = ids.join(F.broadcast(before), part == F.col("_part"))
     return out.withColumn(name, (F.col("_before") + place).cast("long")).drop("_id", "_part", "_before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it comes in fewer partitions than there are cores, as from one small file; else as it is, unmoved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

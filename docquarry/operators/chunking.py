@@ -146,13 +146,10 @@ class Packer:
 
     def tail(self, units: list[str]) -> list[str]:
         """Whole units from the end while they fit the overlap."""
-        kept, left = [], self.budget.overlap_tokens
-        for u in reversed(units):
-            left -= self.count(u)
-            if left < 0:
-                break
-            kept.insert(0, u)
-        return kept
+        first, left = len(units), self.budget.overlap_tokens
+        while first and (left := left - self.count(units[first - 1])) >= 0:
+            first -= 1
+        return units[first:]
 
     def pack(self, units: list[str], room: int, room_after_overlap: int, glue: str, oversize: Callable[[str], list[str]]) -> list[str]:
         """Greedy packing; the room that counts right after an overlap is given apart, as it isn't the same for paragraphs."""
@@ -167,14 +164,16 @@ class Packer:
                 now, used = [], 0
                 out += oversize(u)
             elif used + n <= room:
-                now, used = [*now, u], used + n
+                now.append(u)
+                used += n
             else:
                 if now:
                     out.append(glue.join(now))
                 now = self.tail(now)
                 used = self.count(glue.join(now))
                 if used + n <= room_after_overlap:
-                    now, used = [*now, u], used + n
+                    now.append(u)
+                    used += n
                 else:
                     out.append(u)
                     now, used = [], 0

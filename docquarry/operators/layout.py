@@ -255,7 +255,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     live = []
     for n in range(1, MAX_LEVEL + 1):
         # A level holds until a shallower heading came after it.
-        cut = F.greatest(F.lit(0), *(F.coalesce(F.col(f"l{m}.seq"), F.lit(0)) for m in range(1, n)))
+        cut = F.greatest(F.lit(0), F.lit(0), *(F.coalesce(F.col(f"l{m}.seq"), F.lit(0)) for m in range(1, n)))
         live.append(F.when(F.col(f"l{n}.seq") > cut, F.col(f"l{n}.text")))
     rows = rows.withColumn("heading_path", F.array_compact(F.array(*live))).withColumn("chapter", live[0])
     body = T.utrim(F.when(F.col("h").isNull(), F.col("text")).otherwise(full_heading(F.col("h"))))

@@ -1,7 +1,9 @@
 """Batch retrieval: BM25 over all live chunks, exact inner products, reciprocal-rank fusion, reranking.
 
 Every step answers a whole table of questions. Ranks are by scores rounded to PLACES decimals, so that the
-order of summation can't flip ties, then by corpus order. Only positions and scores travel through ranking.
+order of summation can't flip ties, then by corpus order. Questions go to the chunks, in blocks of bounded size: each task scores
+its own chunks and keeps the best of each question, so that only positions and scores of these are shuffled, never pairs of questions and
+chunks.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docquarry.durable import small_broadcast, written
-from docquarry.functions.models import Score, overlap_scorer, scoring
+from docquarry.durable import small_broadcast, spread, written
+from docquarry.functions.models import overlap_scorer, scoring
 from docquarry.functions.tokenizers import Tokenizer, regex_tokenizer
 
 #: Fixed values of BM25 and of the fusion; PLACES is the package's own.
 K1, B, EPSILON, PLACES, RRF = 1.5, 0.75, 0.25, 9, 60
-#: So many question vectors are sent to all tasks at once; more are joined by Spark.
-QUERIES = 4096
+#: Questions of a block, about, and chunks that a task scores at once.
+QUERIES, CHUNKS = 1024, 1024
 
 
 def live(chunks: DataFrame) -> DataFrame:
@@ -31,39 +34,40 @@ def live(chunks: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bm25Index:
-    postings: DataFrame  # term, chunk_pos, tf, dl
+    chunks: DataFrame  # chunk_pos, dl, terms: array of (term, tf)
     terms: DataFrame  # term, df, idf
-    lengths: DataFrame  # chunk_pos, dl
     stats: DataFrame  # n, avgdl, avg_idf
     tokenizer: Tokenizer
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "lengths", "stats"):
+        for name in ("chunks", "terms", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @staticmethod
     def load(spark, path: str, tokenizer: Tokenizer) -> Bm25Index:
-        return Bm25Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "lengths", "stats")), tokenizer)
+        return Bm25Index(*(spark.read.parquet(f"{path}/{n}") for n in ("chunks", "terms", "stats")), tokenizer)
 
 
-def bm25_index(chunks: DataFrame, tokenizer: Tokenizer | None = None, keep: bool = False) -> Bm25Index:
-    """Statistics of the live chunks(chunk_pos, content); keep writes the postings so that they are made once."""
+def bm25_index(chunks: DataFrame, tokenizer: Tokenizer | None = None) -> Bm25Index:
+    """Statistics of the live chunks(chunk_pos, content); texts are read and cut into terms once, and nothing but term counts is shuffled."""
     tokenizer = tokenizer or regex_tokenizer()
-    tokens = live(chunks).select("chunk_pos", tokenizer(F.coalesce("content", F.lit(""))).alias("ts"))
-    tokens = tokens.withColumn("dl", F.size("ts"))
-    lengths = tokens.select("chunk_pos", "dl")
-    # Counted inside each chunk's row already: no word of a chunk is shuffled twice.
-    counted = tokens.select("chunk_pos", "dl", F.explode("ts").alias("term")).groupBy("chunk_pos", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = counted.select("term", "chunk_pos", "tf", "dl")
-    if keep:
-        postings, lengths = written(postings, "postings"), written(lengths, "lengths")
-    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n")))
-    raw = raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    rows = spread(live(chunks)).select("chunk_pos", F.array_sort(tokenizer(F.coalesce("content", F.lit("")))).alias("ts"))
+
+    def counted(ts: Column) -> Column:
+        """Runs of equal terms, of sorted ones."""
+        starts = F.filter(F.sequence(F.lit(1), F.size(ts)), lambda i: (i == 1) | (F.get(ts, i - 1) != F.get(ts, i - 2)))
+        tf = lambda ss: F.transform(ss, lambda i, k: F.struct(F.get(ts, i - 1).alias("term"), (F.coalesce(F.get(ss, k + 1), F.size(ts) + 1) - i).alias("tf")))
+        return F.transform(F.array(starts), tf)[0]
+
+    terms = F.when(F.size("ts") > 0, F.transform(F.array("ts"), counted)[0]).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+    index = written(rows.select("chunk_pos", F.size("ts").alias("dl"), terms.alias("terms")), "index")
+    size = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    raw = index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n")))
+    raw = written(raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
     mean = raw.agg(F.avg("raw_idf").alias("avg_idf"))
     stats = size.join(F.broadcast(mean))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw_idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    return Bm25Index(postings, terms, lengths, stats, tokenizer)
+    return Bm25Index(index, terms, stats, tokenizer)
 
 
 def ranked(rows: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_pos") -> DataFrame:
@@ -72,80 +76,141 @@ def ranked(rows: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_pos"
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_pos, score) of the chunks that share a term with a question of queries(query_id, query)."""
-    asked = queries.select("query_id", F.explode(index.tokenizer(F.coalesce("query", F.lit("")))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term")
-    found = index.postings.join(small_broadcast(asked), "term").join(F.broadcast(index.stats.select("avgdl")))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return found.groupBy("query_id", "chunk_pos").agg(F.sum(part).alias("score"))
+class _Best:
+    """The best k of each question among the chunks that a task has seen: by rounded score, then by position."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k, self.score, self.pos = k, np.zeros((questions, 0)), np.zeros((questions, 0), np.int64)
+
+    def add(self, score: np.ndarray, pos: np.ndarray) -> None:
+        """score: (questions, chunks)."""
+        order = np.argsort(pos, kind="stable")
+        score, pos = score[:, order], pos[order]
+        top = np.argsort(-np.round(score, PLACES), axis=1, kind="stable")[:, : self.k]
+        score, pos = np.hstack((self.score, np.take_along_axis(score, top, 1))), np.hstack((self.pos, pos[top]))
+        top = np.lexsort((pos, -np.round(score, PLACES)), axis=1)[:, : self.k]
+        self.score, self.pos = np.take_along_axis(score, top, 1), np.take_along_axis(pos, top, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(self.score)), self.score.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(self.pos.ravel()), pa.array(self.score.ravel())], ["at", "chunk_pos", "score"])
+
+
+def _in_blocks(queries: DataFrame, size: int, answer, k: int) -> DataFrame:
+    """(query_id, rank, chunk_pos, score) of answer(rows of a block), which gives (at, chunk_pos, score), for all questions.
+
+    A block holds the questions whose hash leaves one remainder, and is all that the driver holds of them.
+    """
+    spark, kind = queries.sparkSession, queries.schema["query_id"].dataType.simpleString()
+    queries = written(queries, "questions")
+    blocks = max(1, -(-queries.count() // size))
+    out = None
+    for n in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect() if blocks > 1 else queries.collect()
+        if asked:
+            names = spark.createDataFrame(list(enumerate(dict.fromkeys(q.query_id for q in asked))), f"at long, query_id {kind}")
+            part = answer(asked).join(F.broadcast(names), "at").select("query_id", "chunk_pos", "score")
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"query_id {kind}, chunk_pos long, score double")
+    return ranked(out, k).select("query_id", "rank", "chunk_pos", "score")
 
 
 def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, chunk_pos, score) over all live chunks; those without a shared term score 0 and fill up in corpus order.
+    """(query_id, rank, chunk_pos, score) over all live chunks of queries(query_id, query); those without a shared term score 0, in corpus order.
 
-    A chunk of score 0 can only be among the first k of a question with fewer than k positive scores, and then it is one of the
-    first k chunks that don't match; only these are added.
+    Question ids are distinct; a null question has no terms.
     """
-    hits = written(bm25_scores(index, queries), "hits")
-    per = hits.groupBy("query_id").agg(F.count("*").alias("m"), F.count_if(F.round("score", PLACES) > 0).alias("positive"))
-    short = queries.select("query_id").join(per, "query_id", "left").where(F.coalesce("positive", F.lit(0)) < k)
-    short = written(short.select("query_id", F.coalesce("m", F.lit(0)).alias("m")), "short")
-    most = short.agg(F.max("m")).first()[0]
-    rows = hits
-    if most is not None:
-        first = index.lengths.select("chunk_pos").orderBy("chunk_pos").limit(k + most)
-        pad = short.join(F.broadcast(first) if k + most <= 200_000 else first).join(hits.select("query_id", "chunk_pos"), ["query_id", "chunk_pos"], "left_anti")
-        pad = pad.select("query_id", "chunk_pos", F.lit(0.0).alias("score"))
-        rows = hits.unionByName(ranked(pad, k).select("query_id", "chunk_pos", "score"))
-    return ranked(rows, k).select("query_id", "rank", "chunk_pos", "score")
+    asked = queries.select("query_id", index.tokenizer(F.coalesce("query", F.lit(""))).alias("ts")).select("query_id", F.posexplode_outer("ts").alias("at", "term"))
+    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(index.terms, "term", "left")
+    weights = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("weight"))).alias("weights"))
+    spark = queries.sparkSession
+    avgdl = index.stats.first()["avgdl"]
+    rows = index.chunks.select("chunk_pos", "dl", F.col("terms.term").alias("terms"), F.col("terms.tf").alias("tf"))
+
+    def answer(questions: list) -> DataFrame:
+        known = sorted({w.term for q in questions for w in q.weights if w.weight is not None})
+        number = {t: i for i, t in enumerate(known)}
+        weight = np.zeros((len(known), len(questions)))
+        for at, q in enumerate(questions):
+            for w in q.weights:
+                if w.weight is not None:
+                    weight[number[w.term], at] = w.weight
+        shared = spark.sparkContext.broadcast((known, weight))
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, weight = shared.value
+            best, names = _Best(weight.shape[1], k), pa.array(known, pa.string())
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNKS):
+                    b = whole.slice(at, CHUNKS)
+                    ids = pc.index_in(b.column(2).flatten(), value_set=names)
+                    here = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+                    row = pc.list_parent_indices(b.column(2)).to_numpy()[here]
+                    ids, tf = ids.drop_null().to_numpy(), b.column(3).flatten().to_numpy()[here]
+                    norm = K1 * (1 - B + B * b.column(1).to_numpy() / avgdl) if avgdl else np.zeros(b.num_rows)
+                    part = tf * (K1 + 1) / (tf + norm[row])
+                    score, ends = np.zeros((weight.shape[1], b.num_rows)), np.searchsorted(row, np.arange(b.num_rows + 1))
+                    for i in np.unique(row):
+                        own = slice(ends[i], ends[i + 1])
+                        score[:, i] = part[own] @ weight[ids[own]]
+                    best.add(score, b.column(0).to_numpy())
+            yield best.rows()
+
+        return rows.select(F.col("chunk_pos").cast("long"), "dl", "terms", "tf").mapInArrow(scored, "at long, chunk_pos long, score double")
+
+    return _in_blocks(weights, QUERIES, answer, k)
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, chunk_pos, score): exact inner products of vectors(chunk_pos, embedding) and queries(query_id, embedding).
 
-    Products are in double precision. Vectors of another length than the questions' are an error; an empty index gives an empty result.
+    Products are in double precision. Questions without a vector have no results; vectors of another length than the
+    questions' are an error; an empty index gives an empty result.
     """
     vectors = vectors.select(F.col("chunk_pos").cast("long"), F.col("embedding").cast("array<double>"))
-    queries = queries.select("query_id", F.col("embedding").cast("array<double>"))
-    asked = queries.limit(QUERIES + 1).collect()
-    if not asked:
-        return ranked(_products(vectors, queries), k).select("query_id", "rank", "chunk_pos", "score")
-    sizes = {len(q.embedding) for q in asked}
-    if len(sizes) > 1:
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>")).where("embedding is not null")
+    lengths = [r[0] for r in asked.select(F.size("embedding").alias("n")).distinct().limit(2).collect()]
+    if len(lengths) > 1:
         raise ValueError("question vectors differ in length")
-    if len(asked) > QUERIES:
-        return ranked(_products(vectors, queries), k).select("query_id", "rank", "chunk_pos", "score")
-    names, (dim,) = [q.query_id for q in asked], sizes
-    shared = vectors.sparkSession.sparkContext.broadcast(np.array([q.embedding for q in asked]))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        top_p = np.zeros((len(q), 0), np.int64)
-        top_s = np.zeros((len(q), 0))
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            if len(flat) != dim * b.num_rows:
-                raise ValueError(f"the index holds vectors of another length than {dim}")
-            score = q @ flat.reshape(-1, dim).T
-            pos = np.broadcast_to(b.column(0).to_numpy(), score.shape)
-            top_s, top_p = np.hstack((top_s, score)), np.hstack((top_p, pos))
-            order = np.lexsort((top_p, -np.round(top_s, PLACES)), axis=1)[:, :k]
-            top_s, top_p = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_p, order, 1)
-        at = np.repeat(np.arange(len(q)), top_s.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(top_p.ravel()), pa.array(top_s.ravel())], ["at", "chunk_pos", "score"])
-
-    local = vectors.mapInArrow(best, "at long, chunk_pos long, score double")
-    spark = vectors.sparkSession
-    number = spark.createDataFrame(list(enumerate(names)), f"at long, query_id {queries.schema['query_id'].dataType.simpleString()}")
-    return ranked(local.join(F.broadcast(number), "at"), k).select("query_id", "rank", "chunk_pos", "score")
-
-
-def _products(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    pairs = queries.withColumnRenamed("embedding", "_q").join(vectors)
-    dot = F.aggregate(F.zip_with("_q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return pairs.select("query_id", "chunk_pos", dot.alias("score"))
+    dim = lengths[0] if lengths else 0
+
+    def answer(questions: list) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast(np.array([q.embedding for q in questions]))
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(len(shared.value), k)
+            for whole in batches:
+                for at in range(0, whole.num_rows, CHUNKS):
+                    b = whole.slice(at, CHUNKS)
+                    flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                    if len(flat) != dim * b.num_rows:
+                        raise ValueError(f"the index holds vectors of another length than {dim}")
+                    best.add(shared.value @ flat.reshape(-1, dim).T, b.column(0).to_numpy())
+            yield best.rows()
+
+        return vectors.mapInArrow(scored, "at long, chunk_pos long, score double")
+
+    return _in_blocks(asked, QUERIES, answer, k)
+
+
+def holding(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, chunk_pos): chunks(chunk_pos, content) that hold the text of items(query_id, query) verbatim.
+
+    Words within an item are whole words of a chunk that holds it: chunks are looked up by the second to fourth word of an item, and what
+    is found is compared as a whole. Only items of fewer than five words are compared with every chunk.
+    """
+    words = lambda c: F.split(F.col(c), " ")
+    items = items.select("query_id", "query").where("query is not null")
+    long = F.size(words("query")) >= 5
+    keyed = items.where(long).withColumn("key", F.xxhash64(F.slice(words("query"), 2, 3)))
+    places = F.when(F.size(words("content")) >= 3, F.sequence(F.lit(1), F.size(words("content")) - 2)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(F.array(words("content")), lambda ws: F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, 3))))[0]
+    rows = chunks.select("chunk_pos", "content")
+    found = spread(rows).select("chunk_pos", F.explode(F.array_distinct(grams)).alias("key")).join(small_broadcast(keyed, size=1 + F.octet_length("query") / 40), "key")
+    found = found.select("chunk_pos", "query_id", "query").join(rows, "chunk_pos").where(F.contains("content", "query"))
+    few = small_broadcast(items.where(~long), size=1 + F.octet_length("query") / 40)
+    return found.select("query_id", "chunk_pos").unionByName(rows.join(few, F.contains(F.col("content"), F.col("query"))).select("query_id", "chunk_pos"))
 
 
 def fuse(lists: list[DataFrame], k: int = 10, constant: int = RRF) -> DataFrame:

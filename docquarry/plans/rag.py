@@ -45,7 +45,7 @@ def hybrid(corpus: Corpus, queries: DataFrame, depth: Depth = Depth(), scorer=ov
     """
     asked = queries if "embedding" in queries.columns else queries.withColumn("embedding", corpus.embed(F.col("query")))
     lexical = retrieval.bm25_top_k(corpus.bm25, queries, depth.candidates)
-    near = retrieval.vector_top_k(corpus.chunks.where("embedding is not null"), asked, depth.candidates)
+    near = retrieval.vector_top_k(corpus.chunks.where("embedding is not null"), asked, depth.candidates)  # questions without a vector: lexical only
     fused = retrieval.fuse([lexical, near], depth.fusion)
     return retrieval.rerank(fused, queries, corpus.chunks, depth.top, scorer)
 
@@ -80,7 +80,8 @@ def answer_questions(corpus: Corpus, questions: DataFrame, depth: Depth = Depth(
 def evaluate(corpus: Corpus, items: DataFrame, depth: Depth = EVALUATION, scorer=overlap_scorer) -> DataFrame:
     """per_query() metrics of items(id, query, expected_documents, expected_chunks, category, difficulty)."""
     items = items.withColumnRenamed("id", "query_id")
-    found = retrieval.with_chunks(hybrid(corpus, items.select("query_id", "query"), depth, scorer), corpus.chunks.select("chunk_pos", "chunk_id", "document"))
+    asked = items.select("query_id", "query", *(["embedding"] if "embedding" in items.columns else []))
+    found = retrieval.with_chunks(hybrid(corpus, asked, depth, scorer), corpus.chunks.select("chunk_pos", "chunk_id", "document"))
     return evaluation.per_query(items, found)
 
 
@@ -90,7 +91,7 @@ def corpus_of(chunks: DataFrame, tokenizer: Tokenizer | None = None, embedder=No
         raise ValueError("there are no chunks to index")
     embed = embedding(embedder or hashed_embedder(dimension))
     done = written(retrieval.embedded(chunks, embed, model, None, dimension), "chunks")
-    return Corpus(done, retrieval.bm25_index(done, tokenizer, keep=True), embed)
+    return Corpus(done, retrieval.bm25_index(done, tokenizer), embed)
 
 
 def build(words: DataFrame, budget: chunking.Budget = chunking.Budget(), tokenizer=chunking.PieceTokenizer, **options) -> Corpus:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.durable import shared_dir
 from docquarry.functions import text as T
+from docquarry.functions.models import embedding, hashed_embedder
+from docquarry.functions.tokenizers import dictionary_tokenizer
 from docquarry.operators import chapters, chunking, context, evaluation, layout, retrieval
 from docquarry.operators.layout import is_incomplete_heading
+from docquarry.plans import rag
+from docquarry.sources import tables
 
 PLACES = 6
 
@@ -60,14 +67,14 @@ def bm25_terms(spark, sf_dir):
 
 
 def bm25_topk(spark, sf_dir):
-    index = retrieval.bm25_index(_chunks(spark, sf_dir), keep=True)
+    index = retrieval.bm25_index(_chunks(spark, sf_dir))
     return _rounded(retrieval.bm25_top_k(index, _questions(spark, sf_dir), 25), "score")
 
 
 def soft_delete_filter(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     flagged = docs.select(F.col("doc_id").alias("chunk_pos"), F.col("text").alias("content"), (F.col("lang") == "en").alias("is_deleted"))
-    index = retrieval.bm25_index(flagged, keep=True)
+    index = retrieval.bm25_index(flagged)
     return _rounded(retrieval.bm25_top_k(index, _questions(spark, sf_dir), 10), "score")
 
 
@@ -98,7 +105,7 @@ def vector_metadata_join(spark, sf_dir):
 
 
 def _lists(spark, sf_dir):
-    index = retrieval.bm25_index(_chunks(spark, sf_dir), keep=True)
+    index = retrieval.bm25_index(_chunks(spark, sf_dir))
     questions = _questions(spark, sf_dir)
     vectors = _vectors(spark, sf_dir)
     asked = vectors.join(F.broadcast(questions.select(F.col("query_id").alias("chunk_pos"))), "chunk_pos", "left_semi").withColumnRenamed("chunk_pos", "query_id")
@@ -122,6 +129,20 @@ def _length_scorer():
     return lambda pairs: [1.0 / (1 + len(text or "")) for _, text in pairs]
 
 
+def _corpus(spark, sf_dir) -> rag.Corpus:
+    """Documents as chunks, with the embedding of their number where there is one."""
+    docs = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document"), F.col("lang").alias("chapter"),
+        F.lit(None).cast("string").alias("title"), F.col("text").alias("content"),
+    )
+    chunks = docs.join(_vectors(spark, sf_dir), "chunk_pos", "left")
+    return rag.Corpus(chunks, retrieval.bm25_index(docs), embedding(hashed_embedder()))
+
+
+def _with_vectors(spark, sf_dir, questions):
+    return questions.join(_vectors(spark, sf_dir).withColumnRenamed("chunk_pos", "query_id"), "query_id", "left")
+
+
 def _hybrid(spark, sf_dir, k):
     fused = retrieval.fuse(_lists(spark, sf_dir), 10)
     return retrieval.rerank(fused, _questions(spark, sf_dir), _chunks(spark, sf_dir), k, _length_scorer)
@@ -131,25 +152,41 @@ def hybrid_topk(spark, sf_dir):
     return _rounded(_hybrid(spark, sf_dir, 10), "score", "fusion_score")
 
 
+def rag_hybrid(spark, sf_dir):
+    """As the whole plan has it: only chunks have vectors, and a question without one goes by terms alone."""
+    asked = _with_vectors(spark, sf_dir, _questions(spark, sf_dir))
+    return _rounded(rag.hybrid(_corpus(spark, sf_dir), asked, rag.Depth(25, 10, 10), _length_scorer), "score", "fusion_score")
+
+
+def rag_evaluate(spark, sf_dir):
+    items = _eval_items(spark, sf_dir).withColumnRenamed("query_id", "id")
+    items = _with_vectors(spark, sf_dir, items.join(_questions(spark, sf_dir).withColumnRenamed("query_id", "id"), "id").withColumnRenamed("id", "query_id"))
+    out = rag.evaluate(_corpus(spark, sf_dir), items.withColumnRenamed("query_id", "id"), rag.EVALUATION, _length_scorer)
+    return _rounded(out.select("query_id", *evaluation.METRICS), *evaluation.METRICS)
+
+
 _HYBRID = _FUSED + """,
 re AS (SELECT query_id, chunk_pos, 1.0::DOUBLE / (1 + length(text)) AS score, f.score AS fusion_score, f.rank AS came FROM fused f JOIN documents ON doc_id = chunk_pos WHERE rank <= 10),
 hyb AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, came) AS rank, chunk_pos, score, fusion_score FROM re)"""
 
+_PLAN = _HYBRID.replace("embeddings b)", "embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents))")
+
 # --- evaluation ---------------------------------------------------------------------------------------------
 # Relevant to an item are the documents that hold its text verbatim; a document's source stands for the document of a chunk.
 
 
 def _eval_items(spark, sf_dir):
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    pairs = docs.join(F.broadcast(items.withColumnRenamed("text", "query")), F.contains(F.col("text"), F.col("query")))
-    truth = pairs.groupBy(F.col("item_id").alias("query_id")).agg(
+    held = retrieval.holding(_chunks(spark, sf_dir), _questions(spark, sf_dir))
+    pairs = held.join(docs.select(F.col("doc_id").alias("chunk_pos"), "doc_id", "source", "lang"), "chunk_pos")
+    truth = pairs.groupBy("query_id").agg(
         F.collect_set("source").alias("expected_documents"), F.collect_set(F.col("doc_id").cast("string")).alias("expected_chunks"), F.min("lang").alias("category")
     )
     return items.select(F.col("item_id").alias("query_id")).join(truth, "query_id", "left").withColumn("difficulty", F.when(F.col("query_id") % 3 == 0, "easy").when(F.col("query_id") % 3 == 1, "hard"))
 
 
 def _metrics(spark, sf_dir):
-    index = retrieval.bm25_index(_chunks(spark, sf_dir), keep=True)
+    index = retrieval.bm25_index(_chunks(spark, sf_dir))
     found = retrieval.bm25_top_k(index, _questions(spark, sf_dir), 10)
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document"))
     return evaluation.per_query(_eval_items(spark, sf_dir), retrieval.with_chunks(found, docs))
@@ -333,6 +370,13 @@ _WORDS = r"""
 wd AS (SELECT doc_id, n, w[n + 1] AS text, n // 8 AS line, n % 8 AS place FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS n FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS w FROM documents WHERE text IS NOT NULL)))"""
 
 
+# A blank between words only at a change between Chinese, digits and Latin letters; twice, as a word of one sign is both sides.
+_SPACED = "t"
+for _ in range(2):
+    for _p in (r"([A-Za-z])\x01(\d)", r"(\d)\x01([A-Za-z])", r"([㐀-䶿一-鿿])\x01([A-Za-z\d])", r"([A-Za-z\d])\x01([㐀-䶿一-鿿])"):
+        _SPACED = f"regexp_replace({_SPACED}, '{_p}', '\\1 \\2', 'g')"
+
+
 # --- chunks -------------------------------------------------------------------------------------------------
 
 
@@ -357,11 +401,106 @@ def over_limit_audit(spark, sf_dir):
     return chunking.audit(docs, docs, 600, 8192)
 
 
+def token_offenders(spark, sf_dir):
+    """Chunks without a count are counted first."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"), F.lit(None).cast("int").alias("token_count"))
+    n = F.coalesce(F.size(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), F.lit(0))
+    return chunking.offenders(chunking.with_token_count(docs, n), 600, 20).select("chunk_id", "token_count")
+
+
+def chunk_samples(spark, sf_dir):
+    """The windows of a document stand for its pieces."""
+    rows = chunking.token_windows(_table(spark, sf_dir, "documents"), 600, 80)
+    rows = rows.select(F.col("doc_id").alias("chunk_pos"), F.col("window_no").alias("piece"), F.concat_ws("_", "doc_id", "window_no").alias("chunk_id"), F.col("tokens").alias("token_count"), "content")
+    return chunking.samples(rows, 5, 3, 300)
+
+
+def structured_chunks(spark, sf_dir):
+    out = chapters.split_documents(_headed(spark, sf_dir).withColumn("document", F.concat(F.lit("GB/T "), "document", F.lit("-2024"))))
+    return out.select("chunk_pos", "chunk_id", "document_id", "document", "source", "version", "chapter", "title", "level", "parent_path", "content_hash", "is_deleted")
+
+
+def dictionary_terms(spark, sf_dir):
+    """The vocabulary of a BM25 index whose tokenizer segments by a dictionary."""
+    index = retrieval.bm25_index(_chunks(spark, sf_dir), dictionary_tokenizer(["tion", "the", "ing", "er"]))
+    return _rounded(index.terms, "idf")
+
+
+# --- sources and sinks: what was written is read back ----------------------------------------------------------
+
+
+def _shelf(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
+
+
+def _records(spark, sf_dir):
+    """Chunk records of documents, with the embedding of their number."""
+    docs = _table(spark, sf_dir, "documents").where("text <> ''")
+    chunks = docs.select(
+        F.col("doc_id").alias("chunk_pos"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.lit("d").alias("document_id"), F.col("source").alias("document"), F.col("text").alias("content"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), F.lit(1).alias("level"), F.lit(False).alias("is_deleted"),
+    )
+    return chunks.join(_vectors(spark, sf_dir), "chunk_pos", "left")
+
+
+def index_roundtrip(spark, sf_dir):
+    path = _shelf(spark, "saved")
+    rows = _records(spark, sf_dir)
+    tables.save_index(rows.where("chunk_pos % 2 = 0"), path)
+    tables.append_index(rows.where("chunk_pos % 2 = 1"), path)
+    out = tables.load_index(spark, path, 64 if rows.where("size(embedding) = 64").limit(1).count() else None)
+    return out.select("chunk_pos", "chunk_id", "content_hash", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total"))
+
+
+def chunks_json_roundtrip(spark, sf_dir):
+    path = _shelf(spark, "json")
+    rows = _records(spark, sf_dir).drop("embedding")
+    tables.chunks_json(rows).select("json").write.text(path)
+    good, _ = tables.validate_chunks(tables.read_chunks_json(spark, path, rows.count(), lines=True))
+    return good.select("chunk_pos", "chunk_id", "document_id", "document", "level", "content_hash", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "is_deleted")
+
+
+def metadata_roundtrip(spark, sf_dir):
+    path = _shelf(spark, "ids")
+    tables.write_metadata(_records(spark, sf_dir), path)
+    return tables.read_metadata(spark, path)
+
+
+def chapter_files_roundtrip(spark, sf_dir):
+    path = _shelf(spark, "chapters")
+    found = chapters.chapters(_headed(spark, sf_dir))
+    tables.write_chapter_files(found.select("document", chapters.file_name(F.col("chapter_no"), F.col("title")).alias("file"), "content"), path)
+    out = tables.read_chapter_files(spark, path)
+    return out.select(F.col("document").cast("long").alias("doc_id"), "file", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+
+
+def embedding_stage(spark, sf_dir):
+    done = retrieval.embedded(_chunks(spark, sf_dir).where("content is not null"), embedding(hashed_embedder(48)), "hashed-words", "1", 48)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x * x).cast("double")))
+    return done.select("chunk_pos", "embedding_model", "embedding_model_version", "embedding_dimension", F.size("embedding").alias("length"), F.round(norm, 3).alias("norm"))
+
+
+# --- both parsers from end to end -------------------------------------------------------------------------------
+
+
+def parsed_text(spark, sf_dir):
+    out = layout.parse(_words(spark, sf_dir))
+    return out.select(F.col("document").cast("long").alias("doc_id"), F.length("text").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+def structured_blocks(spark, sf_dir):
+    out = layout.parse_structured(_words(spark, sf_dir))
+    return out.select(
+        F.col("document").cast("long").alias("doc_id"), F.col("block").cast("long").alias("block"), "page_start", "page_end", "chapter", "section",
+        F.array_join("heading_path", " > ").alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("hash"),
+    )
+
+
 # --- context and prompts ------------------------------------------------------------------------------------
 
 
 def _context(spark, sf_dir):
-    index = retrieval.bm25_index(_chunks(spark, sf_dir), keep=True)
+    index = retrieval.bm25_index(_chunks(spark, sf_dir))
     found = retrieval.bm25_top_k(index, _questions(spark, sf_dir), 10)
     docs = _table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_pos"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("document"), F.col("lang").alias("chapter"), F.lit(None).cast("string").alias("title"), F.col("text").alias("content")
@@ -410,18 +549,23 @@ QUERIES = {
         bm25_corpus_stats, bm25_terms, bm25_topk, soft_delete_filter, vector_topk, vector_metadata_join, rrf_fusion, hybrid_topk, eval_per_query, eval_overall, eval_by_group,
         content_hash_dedup, doc_slug_version, heading_levels, chapter_segments, section_paths, paragraphs, sentence_split, token_windows, normalize_text,
         page_number_filter, footer_number_filter, header_filter, incomplete_headings, line_grouping, visual_lines, chunk_pack, token_stats, over_limit_audit, context_budget, prompt_messages,
+        rag_hybrid, rag_evaluate, token_offenders, chunk_samples, structured_chunks, dictionary_terms, index_roundtrip, chunks_json_roundtrip, metadata_roundtrip, chapter_files_roundtrip, embedding_stage,
+        parsed_text, structured_blocks,
     )
 }
 
 ORACLES = {
     "bm25_corpus_stats": _with(_STATS) + " SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(r), 6) FROM raw) AS avg_idf FROM st",
-    "bm25_terms": _with(_STATS) + " SELECT term, df, round(idf, 6) AS idf FROM idf",
+    "bm25_terms": r"""WITH d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS term FROM documents) GROUP BY term),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM d, (SELECT count(*) AS n FROM documents)), m AS (SELECT avg(r) AS m FROM r)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * m ELSE r END, 6) AS idf FROM r, m""",
     "bm25_topk": _with(_BM25) + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score FROM lex WHERE rank <= 25",
     "soft_delete_filter": _with(_BM25, " WHERE lang IS DISTINCT FROM 'en'") + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score FROM lex WHERE rank <= 10",
     "vector_topk": _with(_VEC) + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score FROM vec WHERE rank <= 10",
     "vector_metadata_join": _with(_VEC) + " SELECT chunk_pos, query_id, rank::INT AS rank, round(score, 6) AS score, lang, source FROM vec JOIN documents ON doc_id = chunk_pos WHERE rank <= 5",
     "rrf_fusion": _with(_FUSED) + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score FROM fused WHERE rank <= 10",
     "hybrid_topk": _with(_HYBRID) + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score, round(fusion_score, 6) AS fusion_score FROM hyb WHERE rank <= 10",
+    "rag_hybrid": _with(_PLAN) + " SELECT query_id, rank::INT AS rank, chunk_pos, round(score, 6) AS score, round(fusion_score, 6) AS fusion_score FROM hyb WHERE rank <= 10",
     "eval_per_query": _with(_EVAL) + " SELECT query_id, category, difficulty, " + ", ".join(f"round({m}, 6) AS {m}" for m in evaluation.METRICS) + " FROM m",
     "eval_overall": _with(_EVAL) + " SELECT count(*) AS queries, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in evaluation.METRICS) + " FROM m",
     "eval_by_group": _with(_EVAL) + " SELECT group_name, group_value, count(*) AS queries, " + ", ".join(f"round(avg({m}), 4) AS {m}" for m in evaluation.METRICS) + f" FROM ({_GROUPS}) GROUP BY ALL",
@@ -455,10 +599,58 @@ SELECT doc_id, section_no::INT AS section_no, row_number() OVER (PARTITION BY do
     "visual_lines": _with(_WORDS) + """ SELECT doc_id, (line // 40)::INT AS page, count(DISTINCT line) AS lines, min(line % 40 * 20 + place % 3)::DOUBLE AS y0, max(line % 40 * 20 + 12)::DOUBLE AS y1 FROM wd GROUP BY 1, 2""",
     "token_stats": f"SELECT count(*) AS chunks, min({_TOK})::INT AS min_tokens, max({_TOK})::INT AS max_tokens, round(avg({_TOK}), 6) AS mean_tokens FROM documents",
     "over_limit_audit": f"""SELECT *, CASE WHEN over_budget + over_model + blank > 0 THEN 'FAILED' WHEN structured_over_model > 0 THEN 'WARNING' ELSE 'PASSED' END AS verdict FROM (
-  SELECT count(*) FILTER (t > 8192) AS structured_over_model, count(*) FILTER (t <= 700 AND t > 600) AS over_budget, 0::BIGINT AS over_model, count(*) FILTER (t <= 700 AND NOT coalesce(regexp_matches(text, '\\S'), false)) AS blank
+  SELECT count(*) FILTER (t > 8192) AS structured_over_model, count(*) FILTER (t > 600) AS over_budget, count(*) FILTER (t > 8192) AS over_model, count(*) FILTER (NOT coalesce(regexp_matches(text, '\\S'), false)) AS blank
   FROM (SELECT text, {_TOK} AS t FROM documents))""",
+    "token_offenders": f"SELECT doc_id::VARCHAR AS chunk_id, {_TOK}::INT AS token_count FROM documents WHERE {_TOK} > 600 ORDER BY token_count DESC, chunk_id LIMIT 20",
+    "chunk_samples": r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\r\f\x0B]+') AS w FROM documents),
+f AS (SELECT * FROM w WHERE len(w) > 0 ORDER BY doc_id LIMIT 5)
+SELECT doc_id AS chunk_pos, doc_id || '_' || i AS chunk_id, len(w[i * 520 + 1 : i * 520 + 600])::INT AS token_count, left(array_to_string(w[i * 520 + 1 : i * 520 + 600], ' '), 300) AS preview
+FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(w) - 600) / 520)::BIGINT))) AS i FROM f) WHERE i < 3""",
+    "structured_chunks": _with(_HEADED) + rf""",
+t AS (SELECT doc_id, i, line, {_CHAPTER} AS opens FROM ln WHERE line <> ''),
+n AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i)::INT AS chapter_no FROM t),
+g AS (SELECT doc_id, chapter_no, string_agg(line, chr(10) ORDER BY i) AS content, arg_min(line, i) AS head FROM n WHERE chapter_no > 0 GROUP BY ALL),
+h AS (SELECT doc_id, printf('%03d', chapter_no) AS no, regexp_extract(head, '^(\d+(\.\d+)?)\s', 1) AS number,
+  left(trim(regexp_replace(regexp_extract(head, '^\d+(\.\d+)?\s+(.+)$', 2), '[\\/:*?"<>|]', '_', 'g')), 80) AS name, content FROM g)
+SELECT row_number() OVER (ORDER BY 'GB/T ' || doc_id || '-2024', no || '_' || number || '_' || name || '.txt') - 1 AS chunk_pos, 'gb_t_' || doc_id || '_2024_' || no || '_' || number AS chunk_id,
+  'gb_t_' || doc_id || '_2024' AS document_id, 'GB/T ' || doc_id || '-2024' AS document, 'GB/T ' || doc_id || '-2024.pdf' AS source, '2024' AS version, number AS chapter,
+  trim(regexp_replace(regexp_replace(trim(name), '[·•]+$', ''), '\.+$', '')) AS title, len(string_split(number, '.'))::INT AS level,
+  trim(regexp_replace(regexp_replace(trim(name), '[·•]+$', ''), '\.+$', '')) AS parent_path, sha256(content) AS content_hash, false AS is_deleted FROM h""",
+    "dictionary_terms": r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(text, 'tion|the|ing|er|[\p{L}\p{N}]+|[^\s\x0b\x1c-\x1f]')) AS term FROM documents),
+d AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM d, n), m AS (SELECT avg(r) AS m FROM r)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * m ELSE r END, 6) AS idf FROM r, m""",
+    "rag_evaluate": _with(_PLAN) + f""",
+truth AS (SELECT item_id AS query_id, list(DISTINCT source) AS e_document, list(DISTINCT doc_id::VARCHAR) AS e_chunk FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
+got AS (SELECT query_id, list(source ORDER BY rank) AS g_document, list(chunk_pos::VARCHAR ORDER BY rank) AS g_chunk FROM hyb JOIN c USING (chunk_pos) WHERE rank <= 5 GROUP BY query_id),
+ev AS (SELECT item_id AS query_id, coalesce(e_document, []) AS e_document, coalesce(e_chunk, []) AS e_chunk, coalesce(g_document, []) AS g_document, coalesce(g_chunk, []) AS g_chunk
+  FROM benchmark LEFT JOIN truth ON truth.query_id = item_id LEFT JOIN got ON got.query_id = item_id),
+m AS (SELECT query_id, {_metric_sql()} FROM ev)
+SELECT query_id, """ + ", ".join(f"round({m}, 6) AS {m}" for m in evaluation.METRICS) + " FROM m",
+    "index_roundtrip": """SELECT doc_id AS chunk_pos, 'c' || doc_id AS chunk_id, sha256(text) AS content_hash, len(embedding)::INT AS dimension, round(list_sum([x::DOUBLE for x in embedding]), 4) AS total
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE text <> ''""",
+    "chunks_json_roundtrip": "SELECT doc_id AS chunk_pos, 'c' || doc_id AS chunk_id, 'd' AS document_id, source AS document, 1::INT AS level, sha256(text) AS content_hash, sha256(text) AS hash, false AS is_deleted FROM documents WHERE text <> ''",
+    "metadata_roundtrip": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS vector_id, 'c' || doc_id AS chunk_id FROM documents WHERE text <> ''",
+    "embedding_stage": r"SELECT doc_id AS chunk_pos, 'hashed-words' AS embedding_model, '1' AS embedding_model_version, 48::INT AS embedding_dimension, 48::INT AS length, CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents WHERE text IS NOT NULL",
+    "parsed_text": _with(_WORDS) + rf""",
+jn AS (SELECT doc_id, line, trim(string_agg(text, chr(1) ORDER BY place)) AS t FROM wd GROUP BY ALL),
+sp AS (SELECT doc_id, line, replace({_SPACED}, chr(1), '') AS html FROM jn),
+kept AS (SELECT doc_id, line, trim({_NORMAL}) AS t FROM sp WHERE NOT regexp_matches(html, '^(\d{{1,4}}|第\s*\d+\s*页)$') AND NOT regexp_matches(html, '(?i)^GB(?:/T)?\s*\d+(?:\.\d+)*\s*[—-]\s*\d{{4}}$'))
+SELECT doc_id, length(string_agg(t, chr(10) ORDER BY line))::INT AS chars, sha256(string_agg(t, chr(10) ORDER BY line)) AS hash FROM kept WHERE t <> '' GROUP BY doc_id""",
+    "structured_blocks": _with(_WORDS) + rf""",
+l AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY place) AS text, trim(regexp_replace(string_agg(text, ' ' ORDER BY place), '[\s\x0b\x1c-\x1f]+', ' ', 'g')) AS c, min(line % 40 * 20 + place % 3) AS y0 FROM wd GROUP BY doc_id, line),
+k AS (SELECT * FROM l WHERE NOT (regexp_matches(c, '^\d+$') AND y0 >= 720)),
+h AS (SELECT *, regexp_extract(c, '^(\d+(?:\.\d+){{0,3}})\s*(.*)$', ['n', 't']) AS m, regexp_extract(c, '^([A-Z](?:\.\d+){{0,3}})\s*(.*)$', ['n', 't']) AS a FROM k),
+fits AS (SELECT *, m.n <> '' AND (trim(m.t) = '' OR (length(trim(m.t)) <= 100 AND NOT regexp_matches(m.t, '[。；]$'))) AS is_m, a.n <> '' AND (trim(a.t) = '' OR (length(trim(a.t)) <= 100 AND NOT regexp_matches(a.t, '[。；]$'))) AS is_a FROM h),
+e AS (SELECT doc_id, line, text, is_m OR is_a AS opens, CASE WHEN is_m THEN m.n WHEN is_a THEN a.n END AS number, CASE WHEN is_m THEN trim(m.t) WHEN is_a THEN trim(a.t) END AS title FROM fits),
+v AS (SELECT *, CASE WHEN opens THEN len(string_split(number, '.')) ELSE 0 END AS level, CASE WHEN title = '' THEN number ELSE number || ' ' || title END AS whole FROM e),
+s AS (SELECT doc_id, line, text, opens, sum(opens::INT) OVER w AS block, {", ".join(f"last_value(CASE WHEN level = {n} THEN {{'i': line, 'line': whole}} END IGNORE NULLS) OVER w AS l{n}" for n in range(1, 5))} FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+p AS (SELECT doc_id, line, trim(text) AS body, block, list_filter([{_LIVE}], lambda x: x IS NOT NULL) AS path, l1.line AS chapter FROM s WHERE NOT opens)
+SELECT doc_id, block::BIGINT AS block, (min(line) // 40)::INT AS page_start, (max(line) // 40)::INT AS page_end, any_value(chapter) AS chapter, any_value(path)[-1] AS section,
+  coalesce(array_to_string(any_value(path), ' > '), '') AS path, sha256(string_agg(body, chr(10) ORDER BY line)) AS hash FROM p WHERE body <> '' GROUP BY doc_id, block""",
     "context_budget": "WITH RECURSIVE " + _CONTEXT + " SELECT query_id, ids AS chunk_ids, n AS chunk_count, length(text)::INT AS context_chars, sha256(text) AS hash FROM ctx",
     "prompt_messages": "WITH RECURSIVE " + _CONTEXT + f""",
 p AS (SELECT query_id, 'system:{context.SYSTEM}' || chr(10) || 'user:问题：' || chr(10) || b.text || chr(10) || chr(10) || '参考资料：' || chr(10) || coalesce(nullif(trim(ctx.text), ''), '暂无参考资料') AS t FROM ctx JOIN benchmark b ON item_id = query_id)
 SELECT query_id, length(t)::INT AS chars, sha256(t) AS hash FROM p""",
 }
+ORACLES["chapter_files_roundtrip"] = f"SELECT doc_id, file, content_hash FROM ({ORACLES['chapter_segments']})"

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.durable import with_position
 from docquarry.functions.text import utrim
 from docquarry.operators.layout import WORDS
 
@@ -62,6 +66,30 @@ def write_chapters(chapters: DataFrame, path: str) -> None:
     chapters.write.mode("overwrite").partitionBy("document").parquet(path)
 
 
+def write_chapter_files(chapters: DataFrame, directory: str) -> None:
+    """A text file for each row of chapters(document, file, content), at <directory>/<document>/<file>, by the executors.
+
+    The directory has to be one that all of them reach; a file is written under another name first, so that a task that is run again, or twice,
+    leaves a whole one. / and \\ in a document's name become _.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(directory)
+        for b in batches:
+            for document, file, content in zip(*(c.to_pylist() for c in b.columns)):
+                folder = f"{root}/{re.sub(r'[/\\\\]', '_', document)}"
+                store.create_dir(folder)
+                part = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write((content or "").encode())
+                store.move(part, f"{folder}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["files"])
+
+    chapters.select("document", "file", "content").mapInArrow(put, "files long").agg(F.sum("files")).collect()
+
+
 def read_dictionary(spark: SparkSession, path: str) -> list[str]:
     """One term per line; blank lines are left out. A dictionary is small and used by every tokenizer."""
     rows = spark.read.text(path).select(utrim("value").alias("term")).where("term <> ''")
@@ -100,6 +128,14 @@ def save_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
+def append_index(chunks: DataFrame, path: str) -> None:
+    """Further chunks to a saved index; columns are matched by name, and a column that the index lacks, or has and chunks lack, is an error."""
+    saved = chunks.sparkSession.read.parquet(path).columns
+    if set(saved) != set(chunks.columns):
+        raise ValueError(f"the index has the columns {sorted(saved)}, not {sorted(chunks.columns)}")
+    chunks.select(*saved).write.mode("append").parquet(path)
+
+
 def load_index(spark: SparkSession, path: str, dimension: int | None = None) -> DataFrame:
     """The saved chunks; with a dimension, a vector of another length is an error when it is read."""
     chunks = spark.read.parquet(path)
@@ -115,9 +151,9 @@ def chunks_json(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_pos", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def read_chunks_json(spark: SparkSession, path: str, vectors: int | None = None) -> DataFrame:
-    """Chunks from a JSON array or from lines; a number of vectors that differs from that of the chunks is an error."""
-    chunks = spark.read.schema(CHUNKS).option("multiLine", True).json(path)
+def read_chunks_json(spark: SparkSession, path: str, vectors: int | None = None, lines: bool = False) -> DataFrame:
+    """Chunks from files of a JSON array each, or of an object a line; a number of vectors that differs from that of the chunks is an error."""
+    chunks = spark.read.schema(CHUNKS).option("multiLine", not lines).json(path)
     if vectors is not None and (n := chunks.count()) != vectors:
         raise ValueError(f"{n} chunks but {vectors} vectors")
     return chunks
@@ -129,7 +165,16 @@ def read_metadata_json(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.posexplode(F.from_json("value", "array<string>")).alias("vector_id", "chunk_id")).withColumn("vector_id", F.col("vector_id").cast("long"))
 
 
+def write_metadata(chunks: DataFrame, path: str) -> None:
+    """The ids in vector order, a JSON object a line with its vector_id; the executors write them."""
+    with_position(chunks.select("chunk_pos", "chunk_id"), ["chunk_pos"], "vector_id").select("vector_id", "chunk_id").write.mode("overwrite").json(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("vector_id long, chunk_id string").json(path)
+
+
 def metadata_json(chunks: DataFrame) -> str:
-    """The ids in vector order as one JSON array, streamed through the driver a partition at a time."""
+    """The ids in vector order as one JSON array, for an index of bounded size; write_metadata() has no bound."""
     ids = chunks.select("chunk_pos", "chunk_id").orderBy("chunk_pos").select("chunk_id").toLocalIterator()
     return json.dumps([r.chunk_id for r in ids], ensure_ascii=False)
