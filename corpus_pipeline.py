@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import decontaminate, langid, linededup, mixing, simhash
-from docquarry.llm.common import in_fold, table, written
+from docquarry.llm.common import in_fold, own, table, written
 
 #: A document is rejected if it has no letter, if a model without a language explains it better than all languages, or
 #: if no language is likelier than all others together.
@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     langs, p = langid.trained(docs.where(~in_fold(F.col("doc_id"), 3, 1)), vocab)
     langs, p = langid.with_unknown(langs, p)
     known = langid.identified(docs, langs, vocab, p)
-    return known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE)).select(*docs.columns)
+    return known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE)).select(*own(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = linededup.line_dedup(docs)
     some = (F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _sized(out.where(some | F.col("text").isNull()), docs).select(*docs.columns)
+    return _sized(out.where(some | F.col("text").isNull()), docs).select(*own(docs))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
