@@ -152,15 +152,19 @@ def _blocks(fp: Column, cuts: list[tuple[int, int]]) -> list[Column]:
     ]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) whose components are those of the links between the distinct fp within the radius (2 at most)."""
+def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, tmp: Scratch | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of the links between the distinct fp within the radius (2 at most).
+
+    The result reads tables of tmp, which are to be dropped after it.
+    """
+    tmp = tmp or Scratch()
     if radius > 2:
         raise ValueError("three blocks find a distance of 2 at most")
     first = [(0, 21), (21, 21), (42, 22)]
 
     def counted(rows: DataFrame) -> DataFrame:
         """With n, the rows of their key, where there are several; counted before they move, and joined to where a hot key may be split."""
-        return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+        return tmp(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "blocks")
 
     def together(rows: DataFrame) -> DataFrame:
         rows = rows.where(F.col("n") <= shard).withColumn("side", F.lit(False))
@@ -204,7 +208,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, sha
     tmp = Scratch()
     fps = written(fingerprints(docs, shingle), "fingerprints")
     nodes = tmp(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    found = components(links(nodes.select("fp"), radius, shard))
+    found = components(links(nodes.select("fp"), radius, shard, tmp))
     smallest = nodes.join(found, nodes.fp == found.node).groupBy("component").agg(F.min("first").alias("component_id"))
     member = tmp(found.join(smallest, "component").select(F.col("node").alias("fp"), "component_id"), "members")
     classes = nodes.join(member, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
