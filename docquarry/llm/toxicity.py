@@ -1,15 +1,18 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-Only documents are labelled, so tokens get labels first: a word, or a beginning of words, is toxic if, in a bounded sample of
-labelled documents, toxic ones have it far more often than chance allows. A chain of
-two states is then fitted to the sample's segments by gradients from forward-backward marginals. Over the whole table
-the marginals of each text's tokens give its score, the chance that any is toxic, calibrated on the sample,
-and the offsets of the tokens that are likely toxic.
+Only documents are labelled, so the labels of tokens are learned with the field. A token's features are its word or
+beginning, its neighbours, its ending and its shape. The field gives each document the exact chance that none of its
+tokens is toxic, and is fitted to the labels of documents: in clean ones no token is toxic, in toxic ones at least one is,
+whichever the marginals given that say, anew in each round. The first round starts from words that toxic documents have
+far more often than chance allows. Over the whole table the same chance is a text's score, calibrated on
+documents that were held back, and tokens that are likely toxic are its spans.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +33,12 @@ ERROR, RATIO = 1.0, 6.0
 #: Lengths of the beginnings of words that are units as well.
 BEGINNINGS = (6, 5, 4)
 CACHE = 200_000
-#: Other words with a weight of their own.
-COMMON = 3000
-ROUNDS, RATE, L2 = 60, 0.3, 1e-4
+#: Other words with a weight of their own; hashed endings of ENDING letters; shapes: length to 15, digits, letters beyond ASCII.
+COMMON, ENDINGS, ENDING, SHAPES = 3000, 1024, 3, 64
+#: Rounds and step of the fit; pull of weights towards where they began; chances that a toxic label, and a clean one, is wrong.
+ROUNDS, RATE, PULL, WRONG_TOXIC, WRONG_CLEAN = 20, 0.5, 2.0, 0.02, 0.002
+#: Parts of the sample's documents, each scored for calibration by a field of the others.
+FOLDS = 3
 
 
 def tokens_of(text: str | None) -> list[str]:
@@ -42,15 +48,20 @@ def tokens_of(text: str | None) -> list[str]:
 @dataclass
 class Model:
     units: dict[str, int]  # id 0: all others
-    weights: np.ndarray  # emission of the toxic state less that of the clean one, by id
+    weights: np.ndarray  # emission of the toxic state less that of the clean one, by feature
     trans: np.ndarray  # log weights of steps, [from, to]
     start: float
     scale: tuple[float, float]  # of the document score's logit
 
+    def features(self) -> "Features":
+        return Features(self.units)
+
 
 def marginals(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: float, pairs: bool = False):
-    """P(toxic) of each token of sequences that lie in e one after the other; with pairs also the expected steps.
+    """Of each token of sequences that lie in e one after the other, P(toxic), and the log chance that it is clean after clean ones.
 
+    The latter's sum over a sequence is the log chance that none is toxic. With pairs also, for each token but the first
+    of its sequence, the chances of the steps to it, (4, tokens), from and to 00, 01, 10, 11.
     e: emission log ratios. Works on all sequences at once, position by position: f is the log ratio of forward
     weights, b that of backward ones.
     """
@@ -72,15 +83,18 @@ def marginals(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.nd
         x = np.exp(np.clip(b[at + 1] + e[at + 1], -50, 50))
         b[at] = np.log((t10 + t11 * x) / (t00 + t01 * x))
     p = 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
+    first = begin[: active[0]] if most else []
+    base = np.full(n, trans[0, 1] - trans[0, 0])
+    base[first] = start
+    clean = -np.logaddexp(0.0, base + e + b)
     if not pairs:
-        return p
+        return p, clean
     inner = np.ones(n, bool)
-    inner[begin[: active[0]] if most else []] = False
+    inner[first] = False
     at = np.nonzero(inner)[0]
     x, y = np.exp(np.clip(f[at - 1], -50, 50)), np.exp(np.clip(b[at] + e[at], -50, 50))
     w = np.stack([np.full(len(at), t00), t01 * y, x * t10, x * t11 * y])
-    steps = (w / w.sum(0)).sum(1).reshape(2, 2)
-    return p, steps
+    return p, clean, w / w.sum(0)
 
 
 def _bounds(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,67 +145,116 @@ def lexicon(segments: list[tuple[int, int, list[str]]]) -> set[str]:
     return out
 
 
-class Ids(dict):
-    """Of tokens, from those of units: a token that isn't a unit has its longest beginning's id, or 0. Keeps CACHE tokens."""
+class Features(dict):
+    """Of tokens: unit, ending and shape. A token that isn't a unit has its longest beginning's, or 0. Keeps CACHE tokens."""
 
     def __init__(self, units: dict[str, int]) -> None:
-        self.units = units
+        self.units, self.n = units, len(units) + 1
+        self.size = 3 * self.n + ENDINGS + SHAPES
 
-    def __missing__(self, word: str) -> int:
-        found = next((self.units[u] for u in units_of(word) if u in self.units), 0)
+    def __missing__(self, word: str) -> tuple[int, int, int]:
+        unit = next((self.units[u] for u in units_of(word) if u in self.units), 0)
+        shape = 4 * min(len(word), 15) + 2 * any(c.isdigit() for c in word) + (not word.isascii())
         if len(self) >= CACHE:
             self.clear()
-        self[word] = found
+        found = self[word] = (unit, zlib.crc32(word[-ENDING:].encode("utf-8", "surrogatepass")) % ENDINGS, shape)
         return found
 
+    def of(self, tokens: list[list[str]], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(5, tokens): places in the weights of unit, unit before, unit after, ending and shape; 0 stands for no neighbour too."""
+        n, get = int(sizes.sum()), self.__getitem__
+        own = np.fromiter((x for words in tokens for w in words for x in get(w)), np.int32, 3 * n).reshape(n, 3)
+        out = np.zeros((5, n), np.int32)
+        out[0] = own[:, 0]
+        out[1, 1:], out[2, :-1] = out[0, :-1], out[0, 1:]
+        begin = starts[sizes > 0]
+        out[1, begin] = 0
+        out[2, begin + sizes[sizes > 0] - 1] = 0
+        out[1] += self.n
+        out[2] += 2 * self.n
+        out[3] = own[:, 1] + 3 * self.n
+        out[4] = own[:, 2] + 3 * self.n + ENDINGS
+        return out
+
+
+Segments = list[tuple[int, int, list[str]]]
+
+
+def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    return total[starts + sizes] - total[starts]
+
 
-def fit(segments: list[tuple[int, int, list[str]]], share: float = 0.5) -> Model:
-    """share: of toxic ones among the labelled documents that the sample was drawn from."""
+def fitted(segments: Segments) -> Model:
+    """The field without its calibration: the likelihood of the documents' labels, climbed by steps that curvature scales."""
     toxic = lexicon(segments)
     counts = Counter(w for _, _, words in segments for w in words)
     units = {w: i for i, w in enumerate(sorted(toxic) + sorted(w for w, _ in counts.most_common(COMMON) if w not in toxic), 1)}
-    model = Model(units, np.zeros(len(units) + 1), np.zeros((2, 2)), 0.0, (1.0, 0.0))
+    features = Features(units)
+    model = Model(units, np.zeros(features.size), np.zeros((2, 2)), 0.0, (1.0, 0.0))
+    segments = [s for s in segments if s[2]]
     if not toxic:
-        model.weights[:] = -20
-        model.scale = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        model.weights[: features.n] = -20
         return model
-    segments = [s for s in segments if s[2]]
-    of = Ids(units)
-    ids = np.array([of[w] for _, _, ws in segments for w in ws])
-    gold = np.array([label for _, label, ws in segments for _ in ws]) * (ids > 0) * (ids <= len(toxic)).astype(float)
     starts, sizes = _bounds([len(ws) for _, _, ws in segments])
-    inner = np.ones(len(ids), bool)
+    at = features.of([ws for _, _, ws in segments], starts, sizes)
+    docs = {d: i for i, d in enumerate(dict.fromkeys(d for d, _, _ in segments))}
+    doc = np.array([docs[d] for d, _, _ in segments])
+    label = np.zeros(len(docs), bool)
+    label[doc] = [y == 1 for _, y, _ in segments]
+    of_token = np.repeat(doc, sizes)
+    inner = np.ones(len(of_token), bool)
     inner[starts] = False
-    at = np.nonzero(inner)[0]
-    true = np.zeros((2, 2))
-    np.add.at(true, (gold[at - 1].astype(int), gold[at].astype(int)), 1)
-    seen = np.bincount(ids, gold, len(units) + 1)
-    freq = np.bincount(ids, minlength=len(units) + 1)
-    n = len(ids)
-    # Adam on the mean log likelihood; word weights start from their own odds.
-    theta = [np.log((seen + 0.1) / (freq - seen + 0.5)), np.zeros((2, 2)), np.zeros(1)]
-    m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    for r in range(1, ROUNDS + 1):
-        p, steps = marginals(theta[0][ids], starts, sizes, theta[1], float(theta[2][0]), pairs=True)
-        grad = [
-            (seen - np.bincount(ids, p, len(units) + 1)) / np.maximum(freq, 1) - L2 * theta[0],
-            (true - steps) / max(n, 1) * 50 - L2 * theta[1],
-            np.array([(gold[starts] - p[starts]).mean()]) - L2 * theta[2],
-        ]
-        for x, g, a, b in zip(theta, grad, m, v):
-            a += 0.1 * (g - a)
-            b += 0.01 * (g * g - b)
-            x += RATE * (a / (1 - 0.9**r)) / (np.sqrt(b / (1 - 0.99**r)) + 1e-6)
-        theta[1] = np.clip(theta[1], -12, 12)
-    model.weights, model.trans, model.start = theta[0], theta[1], float(theta[2][0])
-    p = marginals(model.weights[ids], starts, sizes, model.trans, model.start)
+    size = features.size
+    freq = sum(np.bincount(a, minlength=size) for a in at)
+    # The first round's tokens: the words of the lexicon in toxic documents.
+    first = label[of_token] & (at[0] > 0) & (at[0] <= len(toxic))
+    seen = np.bincount(at[0][first], minlength=size)
+    began = np.where(np.arange(size) < features.n, np.log((seen + 0.1) / (freq - seen + 0.5)), 0.0)
+    w, trans, start = began.copy(), np.zeros((2, 2)), 0.0
+    for _ in range(ROUNDS):
+        p, clean, steps = marginals(sum(w[a] for a in at), starts, sizes, trans, start, pairs=True)
+        none = np.exp(np.minimum(np.bincount(of_token, clean, len(docs)), 0.0))
+        # How much the log likelihood of a document's label changes with the log chance that it has no toxic token.
+        change = np.where(
+            label, -(1 - WRONG_TOXIC) * none / (1 - none + WRONG_TOXIC * none), (1 - WRONG_CLEAN) * none / (none + WRONG_CLEAN * (1 - none))
+        )
+        c = change[of_token]
+        grad = -sum(np.bincount(a, c * p, size) for a in at)
+        curve = len(at) * sum(np.bincount(a, np.abs(c) * p * (1 - p), size) for a in at)
+        w += RATE * (grad - PULL * (w - began)) / (curve + PULL)
+        s = c[inner]
+        moved = np.array([(s * (1 - steps[0])).sum(), *(-(s * steps[1:]).sum(1))]).reshape(2, 2)
+        spread = (np.abs(s) * steps * (1 - steps)).sum(1).reshape(2, 2)
+        trans = np.clip(trans + RATE * (moved - PULL * trans) / (2 * spread + PULL), -12, 12)
+        p0, c0 = p[starts], c[starts]
+        start += RATE * (-(c0 * p0).sum() - PULL * start) / ((np.abs(c0) * p0 * (1 - p0)).sum() + PULL)
+    model.weights, model.trans, model.start = w, trans, float(start)
+    return model
+
+
+def chances(model: Model, features: Features, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """P(toxic) of all tokens, where each list's begin and how many they are, and each list's log chance of no toxic token."""
+    starts, sizes = _bounds([len(t) for t in tokens])
+    e = sum(model.weights[a] for a in features.of(tokens, starts, sizes))
+    p, clean = marginals(e, starts, sizes, model.trans, model.start)
+    return p, starts, sizes, _sums(clean, starts, sizes)
+
+
+def logits(model: Model, segments: Segments) -> dict[int, tuple[float, int]]:
+    """By document, the log odds that any of its tokens is toxic, and its label."""
     none: dict[int, float] = defaultdict(float)
-    label = {}
-    for (doc, y, _), s, k in zip(segments, starts, sizes):
-        none[doc] += np.log1p(-np.minimum(p[s : s + k], 1 - 1e-9)).sum()
-        label[doc] = y
-    x = np.array([logit(none[d]) for d in label])
-    y = np.array([label[d] for d in label], float)
+    *_, logs = chances(model, model.features(), [ws for _, _, ws in segments])
+    for (doc, _, _), x in zip(segments, logs):
+        none[doc] += x
+    return {doc: (logit(none[doc]), y) for doc, y, _ in segments}
+
+
+def calibration(scored: list[tuple[float, int]], share: float) -> tuple[float, float]:
+    """Factor and offset that make logits those of the labels; (1, 0) without any."""
+    if not scored:
+        return 1.0, 0.0
+    x, y = np.array(scored, float).T
     # The sample's labels are weighted back to the share that they have.
     w = np.where(y > 0, share / max(y.mean(), 1e-6), (1 - share) / max(1 - y.mean(), 1e-6))
     a, b = 1.0, 0.0
@@ -202,7 +265,25 @@ def fit(segments: list[tuple[int, int, list[str]]], share: float = 0.5) -> Model
         hess = np.array([[(h * x * x).sum() + 1, (h * x).sum()], [(h * x).sum(), h.sum() + 1]])
         da, db = np.linalg.solve(hess, [(g * x).sum() - (a - 1), g.sum() - b])
         a, b = a + 0.5 * da, b + 0.5 * db
-    model.scale = (max(a, 0.05), b)
+    return max(a, 0.05), b
+
+
+def fit(segments: Segments, share: float = 0.5) -> Model:
+    """The field of all segments (document, toxic, tokens), calibrated on documents as fields that haven't seen them score them.
+
+    share: of toxic ones among the labelled documents that the sample was drawn from. Without words that mark toxic
+    documents, every text has the score `share`.
+    """
+    model = fitted(segments)
+    if not model.trans.any():
+        model.scale = (0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+        return model
+    fold = [zlib.crc32(f"fold:{d}".encode()) % FOLDS for d, _, _ in segments]
+    back: dict[int, tuple[float, int]] = {}
+    for k in range(FOLDS):
+        other = fitted([s for s, f in zip(segments, fold) if f != k])
+        back |= logits(other, [s for s, f in zip(segments, fold) if f == k])
+    model.scale = calibration(list(back.values()), share)
     return model
 
 
@@ -235,8 +316,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, int, lis
 
     cuts = rows.mapInArrow(cut, "doc_id long, y int, at long, words string")
     order = F.md5(F.concat_ws(":", "doc_id", "at").cast("binary"))
-    got = cuts.orderBy(order, "doc_id", "at").limit(TRAIN_SEGMENTS).collect()
-    return [(r.doc_id, r.y, r.words.split(" ") if r.words else []) for r in got], n.get(1, 0) / max(1, sum(n.values()))
+    got = cuts.orderBy(order, "doc_id", "at").limit(TRAIN_SEGMENTS).toArrow()
+    # Equal words are one string in the driver's memory.
+    words = ([sys.intern(w) for w in x.as_py().split(" ") if w] for x in got["words"])
+    return list(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), words)), n.get(1, 0) / max(1, sum(n.values()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -249,17 +332,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        get = Ids(m.units).__getitem__
+        features = m.features()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                tokens = [tokens_of(t) for t in texts]
-                starts, sizes = _bounds([len(t) for t in tokens])
-                ids = np.fromiter((get(w) for t in tokens for w in t), np.int64, int(sizes.sum()))
-                p = marginals(m.weights[ids], starts, sizes, m.trans, m.start)
-                logs = np.concatenate((np.log1p(-np.minimum(p, 1 - 1e-9)), [0.0]))
-                none = np.where(sizes > 0, np.add.reduceat(logs, np.minimum(starts, len(p))), 0.0)
+                p, starts, sizes, none = chances(m, features, [tokens_of(t) for t in texts])
                 scores = [1 / (1 + np.exp(-(m.scale[0] * logit(x) + m.scale[1]))) for x in none]
                 spans = [""] * len(texts)
                 for i in np.unique(np.searchsorted(starts + sizes, np.nonzero(p >= 0.5)[0], side="right")):

@@ -83,22 +83,53 @@ def test_marginals_by_enumeration():
     trans, start, sizes = rng.normal(size=(2, 2)), 0.3, np.array([3, 0, 1, 5])
     e = rng.normal(size=9)
     starts = np.array([0, 3, 3, 4])
-    p, steps = toxicity.marginals(e, starts, sizes, trans, start, pairs=True)
-    want, moved = np.zeros(9), np.zeros((2, 2))
-    for s, k in zip(starts, sizes):
+    p, clean, steps = toxicity.marginals(e, starts, sizes, trans, start, pairs=True)
+    want, moved, none = np.zeros(9), np.zeros((2, 2)), np.zeros(4)
+    for i, (s, k) in enumerate(zip(starts, sizes)):
         if not k:
             continue
         total, own, pair = 0.0, np.zeros(k), np.zeros((2, 2))
         for m in range(1 << k):
             y = [m >> i & 1 for i in range(k)]
             w = np.exp(start * y[0] + sum(e[s + i] * y[i] for i in range(k)) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+            none[i] += w * (m == 0)
             total += w
             own += w * np.array(y)
             for a, b in zip(y, y[1:]):
                 pair[a, b] += w
         want[s : s + k] = own / total
         moved += pair / total
-    assert np.allclose(p, want) and np.allclose(steps, moved)
+        none[i] = np.log(none[i] / total)
+    assert np.allclose(p, want) and np.allclose(steps.sum(1).reshape(2, 2), moved)
+    assert np.allclose(toxicity._sums(clean, starts, sizes), none)
+
+
+def test_fit_climbs_the_likelihood_of_labels(monkeypatch):
+    """More rounds explain the documents' labels better, summed over all labellings of tokens by the chance of none toxic."""
+    rng = random.Random(5)
+    segments = []
+    for d in range(200):
+        ws = [f"w{rng.randrange(60)}" for _ in range(12)]
+        if d % 4 == 0:
+            at = rng.randrange(11)
+            ws[at : at + 2] = ["so", rng.choice(["vile", "nasty"])]
+        elif d % 4 == 1:
+            ws[rng.randrange(12)] = "so"
+        segments.append((d, int(d % 4 == 0), ws))
+    got = []
+    for rounds in (1, 5, 20):
+        monkeypatch.setattr(toxicity, "ROUNDS", rounds)
+        got.append(sum(-np.log1p(np.exp(-x if y else x)) for x, y in toxicity.logits(toxicity.fitted(segments), segments).values()))
+    assert got[0] < got[1] < got[2]
+
+
+def test_neighbours_are_features():
+    features = toxicity.Features({"a": 1, "b": 2})
+    starts, sizes = toxicity._bounds([2, 0, 1])
+    at = features.of([["a", "b"], [], ["b"]], starts, sizes)
+    assert at[0].tolist() == [1, 2, 2] and (at[1] - 3).tolist() == [0, 1, 0] and (at[2] - 6).tolist() == [2, 0, 0]
+    assert at.max() < features.size and features["x1é"][2] != features["x1e"][2]
+    assert features["\ud800"][0] == 0
 
 
 def test_toxicity(spark):
