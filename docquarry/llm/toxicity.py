@@ -16,7 +16,7 @@ import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +57,8 @@ class Model:
     start: float
     scale: tuple[float, float]  # of the document score's logit
 
-    def features(self) -> "Features":
-        return Features(self.units)
+    def words(self) -> "Words":
+        return Words(self)
 
 
 def marginals(e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: float, pairs: bool = False):
@@ -159,14 +159,17 @@ class Features(dict):
         self.width = 3 + len(BEGINNINGS)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        unit = next((self.units[u] for u in units_of(word) if u in self.units), 0)
-        shape = 4 * min(len(word), 15) + 2 * any(c.isdigit() for c in word) + (not word.isascii())
         if len(self) >= CACHE:
             self.clear()
-        of = lambda part, size: zlib.crc32(part.encode("utf-8", "surrogatepass")) % size
-        found = self[word] = (unit, of(word[-ENDING:], ENDINGS), shape, *(of(word[:k], STEMS) for k in BEGINNINGS))
+        found = self[word] = self.told(word)
         return found
 
+    def told(self, word: str) -> tuple[int, ...]:
+        unit = self.units.get(word) or next((self.units[u] for u in units_of(word)[1:] if u in self.units), 0)
+        digits = not word.isalpha() and any(c.isdigit() for c in word)
+        of = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word[-ENDING:], *(word[:k] for k in BEGINNINGS))]
+        return (unit, of[0] % ENDINGS, 4 * min(len(word), 15) + 2 * digits + (not word.isascii()), *(x % STEMS for x in of[1:]))
+
     def of(self, tokens: list[list[str]], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """(features, tokens): places in the weights of unit, units before and after (0: none), ending, shape and beginnings."""
         n, get = int(sizes.sum()), self.__getitem__
@@ -181,6 +184,35 @@ class Features(dict):
         return out + self.base[:-1, None].astype(np.int32)
 
 
+class Words(dict):
+    """Of tokens: unit, and the part of the emission that doesn't depend on neighbours. Keeps CACHE tokens."""
+
+    def __init__(self, model: Model) -> None:
+        self.features, self.model = Features(model.units), model
+        self.weights = model.weights.tolist()
+        self.own = [int(self.features.base[i]) for i in (0, *range(3, self.features.width + 2))]
+
+    def __missing__(self, word: str) -> tuple[float, float]:
+        at = self.features.told(word)
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[word] = (float(at[0]), sum(self.weights[a + i] for a, i in zip(self.own, at)))
+        return found
+
+    def emissions(self, tokens: list[list[str]], starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sums of the weights that Features.of() leads to."""
+        n, get, f, w = int(sizes.sum()), self.__getitem__, self.features, self.model.weights
+        own = np.fromiter(chain.from_iterable(map(get, chain.from_iterable(tokens))), float, 2 * n).reshape(n, 2)
+        unit, e = own[:, 0].astype(np.int32), own[:, 1].copy()
+        before, after = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        before[1:], after[:-1] = unit[:-1], unit[1:]
+        begin = starts[sizes > 0]
+        before[begin] = after[begin + sizes[sizes > 0] - 1] = 0
+        e += w[f.base[1] : f.base[2]][before]
+        e += w[f.base[2] : f.base[3]][after]
+        return e
+
+
 Segments = list[tuple[int, int, list[str]]]
 
 
@@ -237,18 +269,17 @@ def fitted(segments: Segments) -> Model:
     return model
 
 
-def chances(model: Model, features: Features, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chances(model: Model, words: Words, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """P(toxic) of all tokens, where each list's begin and how many they are, and each list's log chance of no toxic token."""
     starts, sizes = _bounds([len(t) for t in tokens])
-    e = sum(model.weights[a] for a in features.of(tokens, starts, sizes))
-    p, clean = marginals(e, starts, sizes, model.trans, model.start)
+    p, clean = marginals(words.emissions(tokens, starts, sizes), starts, sizes, model.trans, model.start)
     return p, starts, sizes, _sums(clean, starts, sizes)
 
 
 def logits(model: Model, segments: Segments) -> dict[int, tuple[float, int]]:
     """By document, the log odds that any of its tokens is toxic, and its label."""
     none: dict[int, float] = defaultdict(float)
-    *_, logs = chances(model, model.features(), [ws for _, _, ws in segments])
+    *_, logs = chances(model, model.words(), [ws for _, _, ws in segments])
     for (doc, _, _), x in zip(segments, logs):
         none[doc] += x
     return {doc: (logit(none[doc]), y) for doc, y, _ in segments}
@@ -333,12 +364,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        features = m.features()
+        words = m.words()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                p, starts, sizes, none = chances(m, features, [tokens_of(t) for t in texts])
+                p, starts, sizes, none = chances(m, words, [tokens_of(t) for t in texts])
                 scores = [1 / (1 + np.exp(-(m.scale[0] * logit(x) + m.scale[1]))) for x in none]
                 spans = [""] * len(texts)
                 for i in np.unique(np.searchsorted(starts + sizes, np.nonzero(p >= 0.5)[0], side="right")):

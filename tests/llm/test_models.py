@@ -123,6 +123,17 @@ def test_fit_climbs_the_likelihood_of_labels(monkeypatch):
     assert got[0] < 2 * got[1] and got[1] < 2 * got[2]
 
 
+def test_emissions_are_sums_of_weights():
+    rng = random.Random(7)
+    tokens = [[rng.choice(["a", "b", "beginning", "ünd", "x9"]) for _ in range(k)] for k in (3, 0, 1, 8)]
+    model = toxicity.Model({"a": 1, "begin*": 2}, np.array([]), np.zeros((2, 2)), 0.0, (1.0, 0.0))
+    features = toxicity.Features(model.units)
+    model.weights = np.random.default_rng(1).normal(size=features.size)
+    starts, sizes = toxicity._bounds([len(t) for t in tokens])
+    want = model.weights[features.of(tokens, starts, sizes)].sum(0)
+    assert np.allclose(model.words().emissions(tokens, starts, sizes), want)
+
+
 def test_neighbours_are_features():
     features = toxicity.Features({"a": 1, "b": 2})
     starts, sizes = toxicity._bounds([2, 0, 1])
