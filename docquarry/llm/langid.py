@@ -27,7 +27,7 @@ TRAIN_DOCS, TRAIN_WORDS = 500, 20_000
 ROUNDS, SMOOTHING = 4, 0.05
 CACHE = 200_000
 #: Characters whose lattice is held at once; a longer word is held alone.
-BATCH = 1 << 15
+BATCH = 1 << 14
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 

@@ -280,7 +280,7 @@ def _described(docs: DataFrame) -> DataFrame:
     import xxhash
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             sets = [shingles(t.as_py()) for t in b.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), 1) if len(h) else 0 for h in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))
