@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import decontaminate, langid, linededup, mixing, simhash
-from docquarry.llm.common import in_fold, own, table, written
+from docquarry.llm.common import fresh, in_fold, joined_back, own, small_batches, table, text_hash, written
 
 #: A document is rejected if it has no letter, if a model without a language explains it better than all languages, or
 #: if no language is likelier than all others together.
@@ -32,8 +32,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocab = langid.vocabulary()
     langs, p = langid.trained(docs.where(~in_fold(F.col("doc_id"), 3, 1)), vocab)
     langs, p = langid.with_unknown(langs, p)
-    known = langid.identified(docs, langs, vocab, p)
-    return known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANGUAGE)).select(*own(docs))
+    known = langid.identified(docs.select("doc_id", "text"), langs, vocab, p)
+    odd = known.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("lang_score") < MIN_LANGUAGE))
+    with small_batches(spark):
+        odd = written(odd.select("doc_id", text_hash().alias("text_hash")).distinct(), "odd")
+    (name,) = fresh(docs, "odd")
+    return joined_back(docs, odd, name).where(F.col(name).isNull()).select(*own(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

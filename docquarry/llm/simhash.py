@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import Scratch, components, fresh, joined_back, own, table, text_hash, written
+from docquarry.llm.common import Scratch, components, fresh, joined_back, own, small_batches, table, text_hash, written
 
 #: Largest BK-tree, in fingerprints.
 SHARD = 512
@@ -328,7 +328,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, piece: int =
     among them. Rows are ordered by doc_id (null last), then by a hash of the text.
     """
     tmp = Scratch()
-    rows = written(_described(docs), "described")
+    with small_batches(docs.sparkSession):
+        rows = written(_described(docs), "described")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = tmp(rows.groupBy("node").agg(F.min(at).alias("first"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "sets")
     keyed = nodes.select("node", F.explode("bands").alias("band"))
@@ -367,7 +368,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, piece: int =
         yield done()
 
     texts = texts.repartition("key").sortWithinPartitions("key", "node")
-    groups = tmp(components(texts.mapInArrow(of, "a long, b long")), "groups")
+    with small_batches(docs.sparkSession):
+        groups = tmp(components(texts.mapInArrow(of, "a long, b long")), "groups")
     first = nodes.join(groups, "node").groupBy("component").agg(F.min("first").alias("least"))
     joined = groups.join(first, "component").select("node", "least")
     classes = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("least", "first").alias("first"))

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import decontaminate, linededup, mixing
+from docquarry.llm import decontaminate, langid, linededup, mixing
+from docquarry.llm import simhash as simhash_module
+from docquarry.llm.common import written
 from docquarry.llm.simhash import bands, shingles, similar, simhash, simhash_dedup
 from tests.llm.duck import got, rows
 
@@ -86,6 +88,39 @@ def test_unlearned_languages(spark):
     assert kept == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
 
 
+def test_batches_to_python_are_small(spark, tmp_path, monkeypatch):
+    """Long texts reach Python a few at a time, in the stages that run there."""
+
+    def seen(df, at):
+        def of(batches):
+            import uuid
+
+            for b in batches:
+                at.joinpath(uuid.uuid4().hex).write_text(str(b.nbytes))
+                yield b
+
+        at.mkdir()
+        return df.mapInArrow(of, df.schema)
+
+    identified, described = langid.identified, simhash_module._described
+    monkeypatch.setattr(langid, "identified", lambda docs, *a: identified(seen(docs, tmp_path / "language"), *a))
+    monkeypatch.setattr(simhash_module, "_described", lambda docs: described(seen(docs, tmp_path / "near")))
+    longest = 120_000
+    docs = spark.range(0, 40, 1, 1).select(
+        F.col("id").alias("doc_id"), F.rpad(F.concat(F.lit("der hund und die katze gehen heute nach hause "), F.col("id").cast("string")), longest, " und der hund").alias("text"),
+        F.lit("de").alias("lang"), F.lit("s").alias("source"), F.lit(longest).cast("long").alias("n_chars"),
+    )
+    docs = written(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 40)).coalesce(1), "long")
+    bound = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    kept = written(corpus_pipeline.language_id(spark, docs, SF), "kept")
+    assert kept.count() == 80 and kept.columns == docs.columns
+    assert corpus_pipeline.simhash_dedup(spark, kept, SF).count() == 40  # the words that differ are enough
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == bound
+    for stage in ("language", "near"):
+        sizes = [int(f.read_text()) for f in (tmp_path / stage).iterdir()]
+        assert sum(sizes) > 79 * longest and max(sizes) < (1 << 21) + 2 * longest
+
+
 def test_pairs_at_the_threshold():
     def pairs(shared, a, b, n):
         rng = np.random.default_rng(9)
