@@ -33,7 +33,11 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters; LETTERS alone also takes numerals such as ½ and ², which are cut out."""
+    found = LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def vocabulary(path: str = VOCABULARY) -> dict[str, int]:

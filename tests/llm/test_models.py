@@ -72,6 +72,15 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identified(df, langs, vocab, p).collect()} == {"und"}
 
 
+def test_numerals_are_no_letters(spark):
+    assert langid.words_of("x² Abc½d Ⅳ ① 一二") == ["x", "abc", "d", "一二"]
+    docs = [(1, "der hund", "de"), (2, "½ ² ③", None), (3, "der ½ hund", None)]
+    df, vocab = spark.createDataFrame(docs, "doc_id long, text string, lang string"), langid.vocabulary()
+    langs, p = langid.trained(df, vocab)
+    out = langid.identified(df, langs, vocab, p)
+    assert {r.doc_id: (r.lang_pred, r.lang_score) for r in out.collect()} == {1: ("de", 1.0), 2: ("und", 0.0), 3: ("de", 1.0)}
+
+
 def test_language_accuracy(spark):
     out = langid.op10_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
     n, right = out.where("held_out").agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
