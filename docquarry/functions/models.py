@@ -20,15 +20,18 @@ _WORD = re.compile(r"\w+")
 
 
 def hashed_embedder(dimension: int = 64) -> Callable[[], Embed]:
-    """Counts of hashed words with hashed signs, of length 1; a text without words is a zero vector."""
+    """Counts of hashed words with hashed signs, of length 1, or without signs where these cancel all out; a text without words is a zero vector."""
 
     def make() -> Embed:
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dimension), np.float32)
             for row, text in zip(out, texts):
-                for w in _WORD.findall((text or "").lower()):
-                    h = zlib.crc32(w.encode())
+                hashes = [zlib.crc32(w.encode()) for w in _WORD.findall((text or "").lower())]
+                for h in hashes:
                     row[h % dimension] += 1 if h >> 31 else -1
+                if hashes and not row.any():
+                    for h in hashes:
+                        row[h % dimension] += 1
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norms > 0, norms, 1)
 

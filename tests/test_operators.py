@@ -201,3 +201,8 @@ def test_chapter_files(spark, tmp_path):
     (folder / "004_x.txt").write_text(" \n")
     got = chapters.structured_chunks(tables.read_chapter_files(spark, str(tmp_path))).collect()
     assert [(r.document, r.chapter, r.title, r.level, r.source) for r in got] == [("GB+1 a-2026", "3", "术语和定义", 1, "GB+1 a-2026.pdf")]
+
+
+def test_embedding_whose_signs_cancel():
+    a, b, c = hashed_embedder(48)()(["w0 w88", "w0 w0", " .\n"])
+    assert (float(a @ a), float(b @ b), float(c @ c)) == (1.0, 1.0, 0.0)
