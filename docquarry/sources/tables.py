@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +55,77 @@ def read_pdf_words(spark: SparkSession, directory: str, extract: Callable[[bytes
     return files.select("path", "content").mapInPandas(words, f"{WORDS}, error string")
 
 
+#: Bytes of file contents in a batch that read_chapter_files() hands on, besides a longer file, and files in it.
+FILE_BYTES, FILES = 1 << 20, 1000
+
+
 def read_chapter_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(document, file, content) of <directory>/<document>/*.txt; blank files are left out, a missing directory is an error."""
-    # binaryFile's path isn't percent-encoded, other than input_file_name().
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(directory)
+    """(document, file, content) of <directory>/<document>/*.txt; blank files are left out, a missing directory is an error.
+
+    Executors list the files and read them, so all of them have to reach the directory; one task streams the names of the folders, and the driver holds
+    no names at all. Only in a store that pyarrow doesn't know Spark lists the files, in the driver.
+    """
     parts = F.split("path", "/")
+    try:
+        store, root = fs.FileSystem.from_uri(directory)
+    except pa.ArrowInvalid:
+        # binaryFile's path isn't percent-encoded, other than input_file_name().
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(directory)
+    else:
+        if store.get_file_info(root).type == fs.FileType.NotFound:
+            raise FileNotFoundError(directory)
+        # So many tasks by number, as names are too few bytes for adaptive execution to keep them apart.
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+        files = spark.range(1).repartition(1).mapInArrow(_folders(directory), "path string").repartition(tasks).mapInArrow(_contents(directory), "path string, content binary")
     rows = files.select(F.element_at(parts, -2).alias("document"), F.element_at(parts, -1).alias("file"), utrim(F.decode("content", "UTF-8")).alias("content"))
     return rows.where("content <> ''")
 
 
+def _folders(directory: str):
+    """Paths of what lies in the directory, for mapInArrow over one row."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(directory)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if isinstance(store, fs.LocalFileSystem):
+                with os.scandir(root) as found:
+                    yield from _by(FILES, (e.path for e in found))
+            else:
+                yield from _by(FILES, (i.path for i in store.get_file_info(fs.FileSelector(root))))
+
+    return names
+
+
+def _by(n: int, paths: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(paths, n)):
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
+
+
+def _contents(directory: str):
+    """Paths and contents of the *.txt that are or lie below each path, for mapInArrow."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(directory)
+        for b in batches:
+            paths, contents, size = [], [], 0
+            for top in store.get_file_info(b.column(0).to_pylist()):
+                below = store.get_file_info(fs.FileSelector(top.path, recursive=True)) if top.type == fs.FileType.Directory else [top]
+                for i in below:
+                    if i.type == fs.FileType.File and i.path.endswith(".txt"):
+                        with store.open_input_stream(i.path) as file:
+                            paths.append(i.path)
+                            contents.append(file.read())
+                        size += len(contents[-1])
+                    if size >= FILE_BYTES or len(paths) >= FILES:
+                        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                        paths, contents, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return read
+
+
 def write_chapters(chapters: DataFrame, path: str) -> None:
     """chapters(document, file, content) as Parquet, partitioned by document."""
     chapters.write.mode("overwrite").partitionBy("document").parquet(path)
@@ -74,8 +139,6 @@ def write_chapter_files(chapters: DataFrame, directory: str) -> None:
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(directory)
         for b in batches:
             for document, file, content in zip(*(c.to_pylist() for c in b.columns)):

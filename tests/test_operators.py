@@ -206,3 +206,13 @@ def test_chapter_files(spark, tmp_path):
 def test_embedding_whose_signs_cancel():
     a, b, c = hashed_embedder(48)()(["w0 w88", "w0 w0", " .\n"])
     assert (float(a @ a), float(b @ b), float(c @ c)) == (1.0, 1.0, 0.0)
+
+
+def test_chapter_files_are_listed_by_executors(spark, tmp_path):
+    rows = [(f"d{i}", f"001_{i}_t.txt", f"{i} t") for i in range(30)] + [("_d", "001_1_t.txt", "1 t"), ("d e%20", "001_1_t.txt", "1 t"), ("d0", "002_1_t.txt", "1 t"), ("d1", "002_1_t.txt", " ")]
+    tables.write_chapter_files(spark.createDataFrame(rows, "document string, file string, content string"), f"file://{tmp_path}")
+    found = tables.read_chapter_files(spark, f"file://{tmp_path}")
+    assert "binaryFile" not in found._jdf.queryExecution().toString()  # that source's index holds each file's name in the driver
+    assert sorted(map(tuple, found.collect())) == sorted(r for r in rows if r[2] != " ")
+    with pytest.raises(FileNotFoundError):
+        tables.read_chapter_files(spark, f"file://{tmp_path}/missing")
