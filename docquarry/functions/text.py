@@ -81,7 +81,10 @@ def normalize(c: Column | str) -> Column:
         (rf"(?U)^(图[A-Z]?\d+(?:\.\d+)*)([{CJK}])", "$1 $2"),
         (r" {2,}", " "),
     ]
-    return F.trim(reduce(lambda x, s: F.regexp_replace(x, *s), steps, collapse(c)))
+    # Nothing but white space changes in a text without Chinese and without a digit beside a Latin letter, as most are.
+    some = rf"(?U)[{CJK}]|\d[A-Za-z]|[A-Za-z]\d"
+    every = lambda x: F.trim(reduce(lambda y, s: F.regexp_replace(y, *s), steps, x))
+    return F.transform(F.array(collapse(c)), lambda x: F.when(x.rlike(some), every(x)).otherwise(x))[0]
 
 
 def _kind(c: Column) -> Column:

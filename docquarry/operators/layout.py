@@ -1,19 +1,22 @@
 """From positioned words to clean text: visual rows, headers, page numbers, split headings.
 
 Words carry document, page, page_height, text, x0, y0, x1, y1, block_no, line_no, word_no. Rows of a page are
-found by folds over that page alone, which is a group of bounded size.
+found from that page alone, which is a group of bounded size.
 """
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docquarry.functions import text as T
+from docquarry.operators.pages import SPACE, Pages, by_page, differs, joined, least, most, numbers, order
 
 WORDS = "document string, page int, page_height double, text string, x0 double, y0 double, x1 double, y1 double, block_no int, line_no int, word_no int"
 LINES = "document string, page int, line_seq int, text string, x0 double, y0 double, x1 double, y1 double"
@@ -21,36 +24,58 @@ LINES = "document string, page int, line_seq int, text string, x0 double, y0 dou
 Y_TOLERANCE, HEADER_RATIO, FOOTER_RATIO, HEADING_REACH, HEADING_GAP, MAX_LEVEL = 3.0, 0.05, 0.90, 5, 25.0, 4
 
 
+def _kind(words: DataFrame, *names: str) -> str:
+    return ", ".join(f"{c} {words.schema[c].dataType.simpleString()}" for c in names)
+
+
 def visual_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """Lines of each page: a word joins the current row while its y0 is near the mean y0 of that row so far."""
-    word = F.struct("y0", "x0", "word_no", "text", "x1", "y1", "block_no", "line_no")
-    pages = words.where(T.utrim("text") != "").groupBy("document", "page").agg(
-        F.sort_array(F.collect_list(word)).alias("words"), F.max("page_height").alias("page_height")
-    )
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
-
-    def step(s: Column, w: Column) -> Column:
-        near = (s["n"] > 0) & (F.abs(w["y0"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= tolerance)
-        row = F.when(near, s["row"]).otherwise(s["row"] + 1)
-        return F.struct(
-            F.when(near, s["sum"] + w["y0"]).otherwise(w["y0"]).alias("sum"),
-            F.when(near, s["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            row.alias("row"),
-            F.array_append(s["rows"], row).alias("rows"),
-        )
-
-    pages = pages.withColumn("rows", F.aggregate("words", state, step, lambda s: s["rows"]))
-    flat = pages.select("document", "page", "page_height", F.explode(F.arrays_zip("words", "rows")).alias("z"))
-    flat = flat.select("document", "page", "page_height", F.col("z.rows").alias("row"), "z.words.*")
-    across = F.struct("x0", "word_no", "text", "block_no", "line_no")
-    rows = flat.groupBy("document", "page", "row").agg(
-        F.max("page_height").alias("page_height"),
-        F.sort_array(F.collect_list(across)).alias("ws"),
-        *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
-    )
-    joined = T.utrim(T.join_words(F.transform("ws", lambda w: T.utrim(w["text"]))))
-    rows = rows.withColumns({"text": joined, "block_no": F.col("ws")[0]["block_no"], "line_no": F.col("ws")[0]["line_no"]})
-    return rows.where("text <> ''").select("document", "page", "page_height", F.col("row").alias("line_seq"), "text", "x0", "y0", "x1", "y1", "block_no", "line_no")
+
+    def lines(p: Pages) -> pa.RecordBatch:
+        y, valid = numbers(p["y0"])
+        y = np.where(valid, y, np.nan).astype(float)
+        alike = tolerance >= 0 and not np.isnan(y).any()  # then words of the same y0 share a row, in whatever order
+        down = order(p.at, [p["y0"]], [] if alike else [p[c] for c in ("x0", "word_no", "text", "x1", "y1", "block_no", "line_no")])
+        first = _row_starts(p.at[down], y[down], tolerance)
+        row = np.empty(len(down), np.int64)
+        row[down] = np.cumsum(first) - 1
+        across = order(row, [p["x0"], p["word_no"]], [p["text"], p["block_no"], p["line_no"]])
+        starts = np.flatnonzero(np.append(True, np.diff(row[across]) > 0))
+        at, take = p.at[across[starts]], pa.array(across)
+        c = {n: v.take(take) for n, v in p.columns.items()}
+        seq = np.arange(len(starts)) - np.searchsorted(at, at)
+        height = most(p["page_height"], np.searchsorted(p.at, np.arange(len(p.keys[0]))))
+        begin = pa.array(starts)
+        return pa.RecordBatch.from_arrays(
+            [*(k.take(pa.array(at)) for k in p.keys), height.take(pa.array(at)), pa.array(seq, pa.int32()), joined(pc.utf8_trim(c["text"], characters=SPACE), starts, "script"),
+             least(c["x0"], starts), least(c["y0"], starts), most(c["x1"], starts), most(c["y1"], starts), c["block_no"].take(begin), c["line_no"].take(begin)],
+            ["document", "page", "page_height", "line_seq", "text", "x0", "y0", "x1", "y1", "block_no", "line_no"],
+        )
+
+    schema = f"{_kind(words, 'document', 'page', 'page_height')}, line_seq int, {_kind(words, 'text', 'x0', 'y0', 'x1', 'y1', 'block_no', 'line_no')}"
+    return by_page(words, ["page_height", "text", "x0", "y0", "x1", "y1", "block_no", "line_no", "word_no"], lines, schema, blank=False)
+
+
+def _row_starts(page: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether a row begins at each word, of words by page and y.
+
+    A gap beyond the tolerance begins a row for sure, and words between two such gaps that all lie within it are one row. Only stretches that are wider, or
+    too close to tell by more than rounding, are followed word by word.
+    """
+    gap = np.append(np.nan, np.diff(y))
+    margin = 1e-6 * (1 + np.abs(y[np.isfinite(y)]).max(initial=0))
+    first = ~(gap <= tolerance + margin)
+    first[1:] |= page[1:] != page[:-1]
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(y))
+    for k in np.flatnonzero(y[ends - 1] - y[starts] > tolerance - margin):
+        total, n = y[starts[k]], 1
+        for i in range(starts[k] + 1, ends[k]):
+            if abs(y[i] - total / n) <= tolerance:
+                total, n = total + y[i], n + 1
+            else:
+                first[i], total, n = True, y[i], 1
+    return first
 
 
 def without_headers(lines: DataFrame, ratio: float = HEADER_RATIO) -> DataFrame:
@@ -114,20 +139,36 @@ def merge_headings(texts: list[str], y0: list[float]) -> list[tuple[int, list[in
 
 
 def recover_headings(lines: DataFrame) -> DataFrame:
-    """Lines with the pieces of split headings put together, page by page."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_seq", kind="stable").reset_index(drop=True)
-        rows = []
-        for i, places, text in merge_headings(pdf["text"].tolist(), pdf["y0"].tolist()):
-            row, part = pdf.iloc[i].to_dict(), pdf.iloc[places]
-            row |= {"x0": part["x0"].min(), "y0": part["y0"].min(), "x1": part["x1"].max(), "y1": part["y1"].max()}
-            rows.append(row | {"merged": text is not None, "text": row["text"] if text is None else text})
-        return pd.DataFrame(rows, columns=[*pdf.columns, "merged"])
+    """Lines with the pieces of split headings put together, page by page.
 
+    Only pages that hold a letter fragment or a figure line, without which nothing is put together, are gone through line by line.
+    """
     cols = ["document", "page", "page_height", "line_seq", "text", "x0", "y0", "x1", "y1"]
-    schema = "document string, page int, page_height double, line_seq int, text string, x0 double, y0 double, x1 double, y1 double, merged boolean"
-    out = lines.select(cols).groupBy("document", "page").applyInPandas(page, schema)
+
+    def pages(p: Pages) -> pa.RecordBatch:
+        down = order(p.at, [p["line_seq"]], [])
+        at, c = p.at[down], {n: v.take(pa.array(down)) for n, v in p.columns.items()}
+        bare = pc.utf8_trim(c["text"], characters=SPACE)
+        piece = pc.fill_null(pc.or_(pc.starts_with(bare, "图"), pc.match_substring_regex(bare, r"^[A-Z]\.$")), False).to_numpy(zero_copy_only=False)
+        keep, merged = np.ones(len(at), bool), np.zeros(len(at), bool)
+        if piece.any():
+            c |= {n: c[n].to_pylist() for n in ("text", "x0", "y0", "x1", "y1")}
+            out = {n: list(c[n]) for n in ("text", "x0", "y0", "x1", "y1")}
+            for k in np.unique(at[piece]):
+                begin, end = np.searchsorted(at, [k, k + 1])
+                keep[begin:end] = False
+                for i, places, text in merge_headings(c["text"][begin:end], c["y0"][begin:end]):
+                    keep[begin + i], places = True, [begin + j for j in places]
+                    if text is not None:
+                        merged[begin + i], out["text"][begin + i] = True, text
+                        for n, f in (("x0", min), ("y0", min), ("x1", max), ("y1", max)):
+                            out[n][begin + i] = f(c[n][j] for j in places)
+            c |= {n: pa.array(v, p[n].type) for n, v in out.items()}
+        take = pa.array(np.flatnonzero(keep))
+        rows = [*(k.take(pa.array(at)) for k in p.keys), *(c[n] for n in cols[2:]), pa.array(merged)]
+        return pa.RecordBatch.from_arrays([x.take(take) for x in rows], [*cols, "merged"])
+
+    out = by_page(lines, cols[2:], pages, f"{_kind(lines, *cols)}, merged boolean")
     return out.withColumn("text", F.when(F.col("merged"), T.normalize("text")).otherwise(F.col("text"))).drop("merged")
 
 
@@ -154,17 +195,31 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 def block_lines(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """Lines by the words' own block and line numbers, ordered down and then across the page."""
-    across = F.struct("x0", "word_no", "text")
-    rows = words.groupBy("document", "page", "block_no", "line_no").agg(
-        F.max("page_height").alias("page_height"),
-        F.sort_array(F.collect_list(across)).alias("ws"),
-        *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))),
-    )
-    rows = rows.withColumn("text", T.join_words(F.transform("ws", lambda w: w["text"]), T.needs_space_by_default))
-    # rint rounds halves to even, which round() does not.
-    order = W.partitionBy("document", "page").orderBy(F.rint(F.col("y0") / tolerance), "x0", "block_no", "line_no")
-    rows = rows.withColumn("line_seq", (F.row_number().over(order) - 1).cast("int"))
-    return rows.select("document", "page", "page_height", "line_seq", "text", "x0", "y0", "x1", "y1", "block_no", "line_no")
+
+    def lines(p: Pages) -> pa.RecordBatch:
+        across = order(p.at, [p["block_no"], p["line_no"], p["x0"], p["word_no"]], [p["text"]])
+        take = pa.array(across)
+        c = {n: v.take(take) for n, v in p.columns.items()}
+        at = p.at[across]
+        new = np.append(True, at[1:] != at[:-1])
+        new[1:] |= differs(c["block_no"]) | differs(c["line_no"])
+        starts = np.flatnonzero(new)
+        at, begin = at[starts], pa.array(starts)
+        rows = {"page_height": most(c["page_height"], starts), "text": joined(c["text"], starts, "default")}
+        rows |= {n: f(c[n], starts) for n, f in (("x0", least), ("y0", least), ("x1", most), ("y1", most))}
+        rows |= {n: c[n].take(begin) for n in ("block_no", "line_no")}
+        # rint rounds halves to even, which round() does not.
+        y, valid = numbers(rows["y0"])
+        band = pa.array(np.rint(y / tolerance), mask=~valid)
+        down = order(at, [band, rows["x0"], rows["block_no"], rows["line_no"]], [])
+        rows = {n: v.take(pa.array(down)) for n, v in rows.items()}
+        seq = pa.array(np.arange(len(at)) - np.searchsorted(at, at), pa.int32())  # at stays as it is in this order
+        names = ["page_height", "line_seq", "text", "x0", "y0", "x1", "y1", "block_no", "line_no"]
+        rows |= {"line_seq": seq}
+        return pa.RecordBatch.from_arrays([*(k.take(pa.array(at)) for k in p.keys), *(rows[n] for n in names)], ["document", "page", *names])
+
+    schema = f"{_kind(words, 'document', 'page', 'page_height')}, line_seq int, {_kind(words, 'text', 'x0', 'y0', 'x1', 'y1', 'block_no', 'line_no')}"
+    return by_page(words, ["page_height", "text", "x0", "y0", "x1", "y1", "block_no", "line_no", "word_no"], lines, schema)
 
 
 #: Forms of heading numbers.
@@ -272,7 +327,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 def parse_structured(words: DataFrame, remove_header_footer: bool = True) -> DataFrame:
     """Blocks from words: the structured parser from end to end."""
-    lines = merge_split_numbers(block_lines(words))
+    lines = merge_split_numbers(block_lines(words).repartition("document"))  # where blocks() needs them too
     if remove_header_footer:
         lines = without_headers(without_footer_numbers(lines.where(T.utrim("text") != "")))
     return blocks(lines)
