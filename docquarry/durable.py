@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +18,9 @@ from pyspark.sql import Window as W
 #: A table of at most this many rows (of a few dozen bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
 
+#: Bytes of a batch of rows on its way to or from Python inside small_batches(), and of texts in slices().
+BATCH_BYTES = 1 << 21
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir.
@@ -46,6 +54,31 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Batches of rows that are sent to Python end at so many bytes, by default, besides a longer row; for what is run inside, not only planned.
+
+    Spark's own bound of 10000 rows or 64 MB is held several times over outside of the heap, by each task and its Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def slices(batch: pa.RecordBatch, text: int, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many bytes of its column of texts, besides a longer text: for Python objects that take several times the room of texts."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Scratch:
     """Written tables of one operator that go together, once a later table holds what they were for."""
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.durable import BROADCAST_ROWS, Scratch, drop_written, fresh, own, shared_dir, small_broadcast, written
+from docquarry.durable import BATCH_BYTES, BROADCAST_ROWS, Scratch, drop_written, fresh, own, shared_dir, small_batches, small_broadcast, written
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "drop_written", "fresh", "own", "shared_dir", "small_broadcast", "written"]
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "Scratch", "drop_written", "fresh", "own", "shared_dir", "small_batches", "small_broadcast", "written"]
 
 #: Bits of the map of joined_back(): 4 MB, whatever the size of the data.
 BITS = 1 << 25
 
-#: Bytes of a batch of rows on its way to or from Python inside small_batches().
-BATCH_BYTES = 1 << 21
-
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
-    """Batches of rows that are sent to Python end at so many bytes, by default, besides a longer row; for what is run inside, not only planned.
-
-    Spark's own bound of 10000 rows or 64 MB is held several times over outside of the heap, by each task and its Python worker.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

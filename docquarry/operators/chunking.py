@@ -11,15 +11,20 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from docquarry.durable import slices
 from docquarry.functions import text as T
 
 #: Fixed value.
 STRATEGY = "hierarchical_recursive_v1"
+#: Bytes of texts that are packed at once, besides a longer text; what becomes of them is some ten times that in Python.
+PACK_BYTES = 1 << 18
 _LINE_END = re.compile(T.LINE_ENDS)
 
 
@@ -239,28 +244,24 @@ def retrieval_chunks(chunks: DataFrame, budget: Budget = Budget(), tokenizer: Ca
     chunk_pos is the source's; (chunk_pos, piece) orders the result. With on_error="keep" a source that can't be packed gives one row
     with its error and no content instead of ending the job.
     """
-    names = [*COLUMNS, "piece", "error"]
+    kinds = to_arrow_schema(_parse_datatype_string(f"{RECORD}, piece int, error string"))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(budget, tokenizer())
-        for pdf in batches:
+        for b in (part for whole in batches for part in slices(whole, list(COLUMNS).index("content"), PACK_BYTES)):
             rows: list[dict] = []
-            for source in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+            for source in b.to_pylist():
                 try:
                     rows += [c | {"piece": i, "error": None} for i, c in enumerate(packer.chunks(source))]
                 except ValueError as e:
                     if on_error == "raise":
                         raise
                     rows.append(source | {"content": None, "piece": 0, "error": str(e)})
-            out = pd.DataFrame(rows, columns=names)
-            for c, t in {**COLUMNS, "piece": "int"}.items():
-                if t in ("int", "long"):
-                    out[c] = out[c].astype("Int64")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     have = chunks.columns
     own = [F.col(c).cast(t) if c in have else F.lit(None).cast(t).alias(c) for c, t in COLUMNS.items()]
-    return chunks.select(own).mapInPandas(split, f"{RECORD}, piece int, error string")
+    return chunks.select(own).mapInArrow(split, f"{RECORD}, piece int, error string")
 
 
 def outcome(chunks: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import layout, pages
+from docquarry.durable import slices
+from docquarry.operators import chunking, layout, pages
 
 
 def rows_by_hand(words, tolerance):
@@ -53,3 +55,18 @@ def test_recovered_headings(spark, texts, want):
     lines = spark.createDataFrame(rows, "document string, page int, page_height double, line_seq int, text string, x0 double, y0 double, x1 double, y1 double")
     got = layout.recover_headings(lines).orderBy("document", "line_seq").collect()
     assert [r.text for r in got] == want * 2
+
+
+def test_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, "b" * 90, None, "c" * 10, "d" * 10, "", "e" * 200, "f"]), pa.array(range(8))], ["text", "n"])
+    parts = list(slices(batch, 0, 25))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(0).to_pylist()[:-1]) < 25 for p in parts) and len(parts) >= 4
+
+
+def test_packing_goes_by_slices(spark):
+    """Whole batches of 10000 texts became Python objects before."""
+    rows = spark.createDataFrame([(i, f"c{i}", "word " * 50) for i in range(9)] + [(9, "c9", None)], "chunk_pos long, chunk_id string, content string").coalesce(1)
+    out = chunking.retrieval_chunks(rows, chunking.Budget(20, 0, 5), chunking.WordTokenizer)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_pos: r.n for r in out.groupBy("chunk_pos").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(range(9), 3)
