@@ -6,11 +6,16 @@ import importlib.util
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docquarry.durable import slices
+
 Tokenizer = Callable[[Column], Column]
 WORDS = r"[\p{L}\p{N}]+"
+#: Bytes of texts that the dictionary tokenizer cuts at once, besides a longer text; their terms are some twenty times that in Python.
+CUT_BYTES = 1 << 18
 
 
 def regex_tokenizer(pattern: str = WORDS, lower: bool = False) -> Tokenizer:
@@ -44,9 +49,11 @@ def dictionary_tokenizer(terms: list[str]) -> Tokenizer:
     known = {t.strip() for t in terms if t.strip()}
     longest = max(map(len, known), default=1)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else segment(t, known, longest))
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, CUT_BYTES):
+                yield pa.array([None if t is None else segment(t, known, longest) for t in part.column(0).to_pylist()], pa.list_(pa.string()))
 
     return cut
 

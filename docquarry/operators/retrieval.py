@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docquarry.durable import small_broadcast, spread, written
+from docquarry.durable import small_batches, small_broadcast, spread, written
 from docquarry.functions.models import overlap_scorer, scoring
 from docquarry.functions.tokenizers import Tokenizer, regex_tokenizer
 
@@ -60,7 +60,8 @@ def bm25_index(chunks: DataFrame, tokenizer: Tokenizer | None = None) -> Bm25Ind
         return F.transform(F.array(starts), tf)[0]
 
     terms = F.when(F.size("ts") > 0, F.transform(F.array("ts"), counted)[0]).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-    index = written(rows.select("chunk_pos", F.size("ts").alias("dl"), terms.alias("terms")), "index")
+    with small_batches(chunks.sparkSession):  # for tokenizers in Python
+        index = written(rows.select("chunk_pos", F.size("ts").alias("dl"), terms.alias("terms")), "index")
     size = index.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     raw = index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n")))
     raw = written(raw.withColumn("raw_idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
@@ -109,7 +110,9 @@ def _in_blocks(queries: DataFrame, size: int, answer, k: int) -> DataFrame:
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect() if blocks > 1 else queries.collect()
         if asked:
             names = spark.createDataFrame(list(enumerate(dict.fromkeys(q.query_id for q in asked))), f"at long, query_id {kind}")
-            part = answer(asked).join(F.broadcast(names), "at").select("query_id", "chunk_pos", "score")
+            with small_batches(spark):
+                best = written(answer(asked), "best")  # k rows a question and task
+            part = best.join(F.broadcast(names), "at").select("query_id", "chunk_pos", "score")
             out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], f"query_id {kind}, chunk_pos long, score double")
