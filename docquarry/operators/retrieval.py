@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docquarry.durable import small_batches, small_broadcast, spread, written
+from docquarry.durable import BROADCAST_ROWS, small_batches, small_broadcast, spread, written
 from docquarry.functions.models import overlap_scorer, scoring
 from docquarry.functions.tokenizers import Tokenizer, regex_tokenizer
 
@@ -51,7 +51,7 @@ class Bm25Index:
 def bm25_index(chunks: DataFrame, tokenizer: Tokenizer | None = None) -> Bm25Index:
     """Statistics of the live chunks(chunk_pos, content); texts are read and cut into terms once, and nothing but term counts is shuffled."""
     tokenizer = tokenizer or regex_tokenizer()
-    rows = spread(live(chunks)).select("chunk_pos", F.array_sort(tokenizer(F.coalesce("content", F.lit("")))).alias("ts"))
+    rows = spread(live(chunks)).select("chunk_pos", F.sort_array(tokenizer(F.coalesce("content", F.lit("")))).alias("ts"))
 
     def counted(ts: Column) -> Column:
         """Runs of equal terms, of sorted ones."""
@@ -204,16 +204,21 @@ def holding(chunks: DataFrame, items: DataFrame) -> DataFrame:
     is found is compared as a whole. Only items of fewer than five words are compared with every chunk.
     """
     words = lambda c: F.split(F.col(c), " ")
-    items = items.select("query_id", "query").where("query is not null")
-    long = F.size(words("query")) >= 5
-    keyed = items.where(long).withColumn("key", F.xxhash64(F.slice(words("query"), 2, 3)))
-    places = F.when(F.size(words("content")) >= 3, F.sequence(F.lit(1), F.size(words("content")) - 2)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(F.array(words("content")), lambda ws: F.transform(places, lambda i: F.xxhash64(F.slice(ws, i, 3))))[0]
+    items = written(items.select("query_id", "query").where("query is not null"), "items")
+    long, size = F.size(words("query")) >= 5, 1 + F.octet_length("query") / 40
+    keyed = items.where(long).withColumn("key", F.xxhash64(*(F.get(words("query"), F.lit(i)) for i in (1, 2, 3))))
     rows = chunks.select("chunk_pos", "content")
-    found = spread(rows).select("chunk_pos", F.explode(F.array_distinct(grams)).alias("key")).join(small_broadcast(keyed, size=1 + F.octet_length("query") / 40), "key")
-    found = found.select("chunk_pos", "query_id", "query").join(rows, "chunk_pos").where(F.contains("content", "query"))
-    few = small_broadcast(items.where(~long), size=1 + F.octet_length("query") / 40)
-    return found.select("query_id", "chunk_pos").unionByName(rows.join(few, F.contains(F.col("content"), F.col("query"))).select("query_id", "chunk_pos"))
+    # A row a place that holds three words, without a list of them, which would be made for each place by an interpreted function.
+    places = spread(rows).select("chunk_pos", "content", words("content").alias("ws")).where(F.size("ws") >= 3)
+    places = places.select("chunk_pos", "content", "ws", F.explode(F.sequence(F.lit(0), F.size("ws") - 3)).alias("i"))
+    key = F.xxhash64(*(F.get("ws", F.col("i") + k) for k in (0, 1, 2))).alias("key")
+    if (keyed.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_ROWS:
+        # Items are compared where their chunk is read, and no text is shuffled.
+        found = places.select("chunk_pos", "content", key).join(F.broadcast(keyed), "key").where(F.contains("content", "query")).select("query_id", "chunk_pos").distinct()
+    else:
+        found = places.select("chunk_pos", key).distinct().join(keyed, "key").join(rows, "chunk_pos").where(F.contains("content", "query")).select("query_id", "chunk_pos")
+    few = small_broadcast(items.where(~long), size=size)
+    return found.unionByName(rows.join(few, F.contains(F.col("content"), F.col("query"))).select("query_id", "chunk_pos"))
 
 
 def fuse(lists: list[DataFrame], k: int = 10, constant: int = RRF) -> DataFrame:

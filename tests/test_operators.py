@@ -216,3 +216,15 @@ def test_chapter_files_are_listed_by_executors(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(r for r in rows if r[2] != " ")
     with pytest.raises(FileNotFoundError):
         tables.read_chapter_files(spark, f"file://{tmp_path}/missing")
+
+
+def test_holding_shuffles_no_text(spark, monkeypatch):
+    texts = ["x one two three four five y", "one two three four five", "one two three", "a b", "", None, "one two three four five one two three four five", "a b c d e f"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_pos long, content string")
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "b"), (3, None), (4, "a b c d e"), (5, "zz two three four qq")], "query_id long, query string")
+    want = [(1, 0), (1, 1), (1, 6), (2, 3), (2, 7), (4, 7)]
+    found = retrieval.holding(chunks, items)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, retrieval.holding(chunks, items).collect())) == want
